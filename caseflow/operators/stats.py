@@ -17,12 +17,17 @@ _BANDS_PER_DOUBLING = 64
 def _band(value: Column) -> Column:
     """A step function that never falls as ``value`` rises."""
     size = F.log2(F.abs(value.cast("double")) + 1)
-    return F.floor(F.signum(value.cast("double")) * size * _BANDS_PER_DOUBLING)
+    return F.coalesce(F.floor(F.signum(value.cast("double")) * size * _BANDS_PER_DOUBLING), F.lit(0))
 
 
 def frequencies(df: DataFrame, *, key: str, value: str) -> DataFrame:
-    """(key, value, n): how often each value occurs. Combines before it shuffles."""
-    return df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    """(key, value, n): how often each value occurs. Combines before it shuffles.
+
+    Null keys and values go here, explicitly, so that the joins further up infer
+    nothing new and every use of the table is one and the same shuffle.
+    """
+    known = F.col(key).isNotNull() & F.col(value).isNotNull()
+    return df.where(known).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
 
 
 def exact_quantiles(freq: DataFrame, *, key: str, value: str, probs: dict[str, float]) -> DataFrame:

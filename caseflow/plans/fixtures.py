@@ -7,9 +7,7 @@ number depends on nations, segments and the calendar, not on the number of order
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-
-from caseflow.schema import CANON_NAMES
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Given schemas spare the footer-reading job before each query.
 TABLES = {
@@ -20,7 +18,6 @@ TABLES = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
 
-SINGLE_NATION_KEY = 0
 SINGLE_COUNTRY = "NATION_0"
 
 
@@ -28,39 +25,54 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders per (nation, day) and per (nation, segment, month), from one pass.
-
-    Nations join customers first, the smaller side. Every join is left to adaptive
-    execution: broadcast below the size threshold, else sort-merge with skewed
-    customers split.
-    """
-    nation = read_table(spark, sf_dir, "nation")
-    customer = read_table(spark, sf_dir, "customer")
-    orders = read_table(spark, sf_dir, "orders")
-    places = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "c_custkey",
-        F.col("n_nationkey").alias("nk"),
-        F.col("n_name").alias("country"),
-        F.col("c_mktsegment").alias("state"),
-    )
-    placed = orders.join(places, F.col("o_custkey") == F.col("c_custkey")).select(
-        "nk",
-        "country",
-        "state",
-        F.col("o_orderdate").cast("date").alias("day"),
-        F.trunc("o_orderdate", "month").alias("month"),
-        F.col("o_orderstatus").alias("status"),
-    )
-    sets = [["nk", "country", "day"], ["country", "state", "month"]]
-    return placed.groupingSets(
-        [[F.col(c) for c in s] for s in sets], *[F.col(c) for c in ("nk", "country", "state", "day", "month")]
-    ).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("status") == "P").alias("pending"),
-        F.count_if(F.col("status") == "F").alias("filled"),
-        F.when(F.grouping("month") == 0, "WIDE").otherwise("LONG").alias("feed"),
-    )
+# Orders per (nation, day) and per (nation, segment, month) come from one pass. Nations
+# join customers first, the smaller side. No join is forced: Spark broadcasts below
+# its size threshold, else sort-merges and splits the partitions of busy customers.
+#
+# The WIDE feed has a cell for every month any order was placed in. The months are
+# collected over its counts (nations x segments x months), the LONG rows spread by
+# country meanwhile, and each series' first row adds the months the series lacks.
+_CASES = """
+WITH places AS (
+  SELECT c_custkey, n_nationkey AS nk, n_name AS country, c_mktsegment AS state
+  FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey),
+placed AS (
+  SELECT nk, country, state, CAST(o_orderdate AS date) AS day, trunc(o_orderdate, 'month') AS month,
+         o_orderstatus = 'P' AS pending, o_orderstatus = 'F' AS filled
+  FROM {orders} JOIN places ON o_custkey = c_custkey),
+counts AS (
+  SELECT nk, country, state, coalesce(month, day) AS date, grouping(month) = 0 AS is_wide,
+         count(1) AS n, count_if(pending) AS pending, count_if(filled) AS filled
+  FROM placed
+  GROUP BY GROUPING SETS ((nk, country, day), (country, state, month))),
+series AS (
+  SELECT nk, country, state, date, is_wide, pending,
+         sum(n) OVER up_to_here AS total,
+         CAST(nullif(sum(filled) OVER up_to_here, 0) AS double) AS gone,
+         row_number() OVER up_to_here = 1 AS opens,
+         collect_set(CASE WHEN is_wide THEN date END) OVER (PARTITION BY is_wide, country, state) AS own_months
+  FROM counts
+  WINDOW up_to_here AS (PARTITION BY is_wide, country, state ORDER BY date)),
+calendar AS (
+  SELECT *, collect_set(CASE WHEN is_wide THEN date END)
+              OVER (PARTITION BY is_wide, CASE WHEN NOT is_wide THEN country END) AS months
+  FROM series),
+cells AS (
+  SELECT country, state, gone, inline(CASE
+    WHEN is_wide AND opens THEN concat(
+      array(named_struct('date', date, 'confirmed', total, 'source', 'WIDE')),
+      transform(array_except(months, own_months),
+                month -> named_struct('date', month, 'confirmed', CAST(NULL AS bigint), 'source', 'WIDE')))
+    WHEN is_wide THEN array(named_struct('date', date, 'confirmed', total, 'source', 'WIDE'))
+    WHEN nk = 0 THEN array(named_struct('date', date, 'confirmed', total - 2 * pending, 'source', 'LONG'),
+                           named_struct('date', date, 'confirmed', total - 2 * pending + 1, 'source', 'SINGLE'))
+    ELSE array(named_struct('date', date, 'confirmed', total - 2 * pending, 'source', 'LONG'))
+  END)
+  FROM calendar)
+SELECT date, country, state, confirmed, CASE WHEN source <> 'WIDE' THEN gone END AS deaths,
+       CAST(NULL AS double) AS recovered, source
+FROM cells
+"""
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,48 +81,8 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     WIDE: per nation, segment and month, with a null where a month has no order.
     LONG: per nation and day, less a correction. SINGLE: nation 0 again, one higher.
     """
-    is_wide = F.col("feed") == "WIDE"
-    counts = _counts(spark, sf_dir).withColumn("date", F.coalesce("month", "day"))
-
-    place = ["feed", "country", "state"]
-    running = Window.partitionBy(*place).orderBy("date")
-    series = Window.partitionBy(*place)
-    wide_months = F.collect_set(F.when(is_wide, F.col("date")))
-    totals = counts.withColumns(
-        {
-            "total": F.sum("n").over(running),
-            "gone": F.nullif(F.sum("filled").over(running), F.lit(0)).cast("double"),
-            "opens": F.row_number().over(running) == 1,
-            "own_months": wide_months.over(series),
-            # the WIDE feed's calendar; the LONG feed spreads by country
-            "calendar": wide_months.over(Window.partitionBy("feed", F.when(~is_wide, F.col("country")))),
-        }
-    )
-
-    def row(date, confirmed, deaths, source):
-        return F.struct(
-            date.alias("date"), confirmed.alias("confirmed"), deaths.alias("deaths"), F.lit(source).alias("source")
-        )
-
-    no_total, no_deaths = F.lit(None).cast("bigint"), F.lit(None).cast("double")
-    net = F.col("total") - 2 * F.col("pending")
-    day = F.col("date")
-    wide_rows = F.concat(
-        F.array(row(day, F.col("total"), no_deaths, "WIDE")),
-        F.when(
-            F.col("opens"),
-            F.transform(
-                F.array_except("calendar", "own_months"), lambda month: row(month, no_total, no_deaths, "WIDE")
-            ),
-        ).otherwise(F.array().cast("array<struct<date:date,confirmed:bigint,deaths:double,source:string>>")),
-    )
-    long_row = row(day, net, F.col("gone"), "LONG")
-    long_rows = F.when(
-        F.col("nk") == SINGLE_NATION_KEY, F.array(long_row, row(day, net + 1, F.col("gone"), "SINGLE"))
-    ).otherwise(F.array(long_row))
-    return totals.select(
-        "country", "state", F.inline(F.when(is_wide, wide_rows).otherwise(long_rows))
-    ).withColumn("recovered", F.lit(None).cast("double")).select(*CANON_NAMES)
+    tables = {name: read_table(spark, sf_dir, name) for name in ("orders", "customer", "nation")}
+    return spark.sql(_CASES, **tables)
 
 
 def iso(spark: SparkSession, sf_dir: str) -> DataFrame:

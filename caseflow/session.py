@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 # turns a join into a broadcast only when the measured side is small enough.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    # no Python call-site capture for every column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

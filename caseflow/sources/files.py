@@ -34,13 +34,19 @@ def write_csv(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), fil
     With ``partition_by`` the rows are first rebalanced on those columns: a value
     gets few files, and a value holding much of the data is split over several tasks
     instead of flowing through one. ``files`` caps the file count and suits small
-    reports only, since it also caps the tasks that write.
+    reports only, since it also caps the tasks that write. A null in the only data
+    column is written as ``""``: its line would be blank otherwise, and a blank line
+    is left out.
     """
+    only_column = len(df.columns) - len(partition_by) == 1
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     elif files:
         df = df.coalesce(files)
-    df.write.mode("overwrite").option("header", True).partitionBy(*partition_by).csv(path)
+    writer = df.write.mode("overwrite").option("header", True)
+    if only_column:
+        writer = writer.option("nullValue", '""')
+    writer.partitionBy(*partition_by).csv(path)
 
 
 # -- Parquet ------------------------------------------------------------------

@@ -1,0 +1,58 @@
+from __future__ import annotations
+
+import datetime as dt
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from caseflow.schema import CANON  # noqa: E402
+from caseflow.session import configure  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = (
+        configure(SparkSession.builder.master("local[8]"))
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "4g")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def make(spark):
+    """Canonical rows from (day, country, state, confirmed, deaths, source)."""
+
+    def build(*rows):
+        full = [
+            (day(d), country, state, confirmed, None if deaths is None else float(deaths), None, source)
+            for d, country, state, confirmed, deaths, source in rows
+        ]
+        return spark.createDataFrame(full, CANON)
+
+    return build
+
+
+def day(n: int) -> dt.date:
+    return dt.date(2021, 1, 1) + dt.timedelta(days=n - 1)
+
+
+def rows(df, *columns: str) -> list[tuple]:
+    return [tuple(r) for r in (df.select(*columns) if columns else df).collect()]
+
+
+def ordered(values) -> list[tuple]:
+    return sorted(values, key=lambda t: tuple((v is None, str(type(v)), v) if v is not None else (True, "", 0) for v in t))
+
+
+def plan(df) -> str:
+    """The physical plan: the final one if the query has run, else the initial one."""
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]

@@ -1,0 +1,90 @@
+"""The jobs from raw CSV feeds to reports, through the command line."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+
+from caseflow import sources as src
+from caseflow.__main__ import main
+from caseflow.schema import CANON_NAMES, ENRICHED
+
+from conftest import ordered, rows
+
+WIDE = """Province/State,Country/Region,Lat,Long,1/22/20,1/23/20,1/24/20
+,Aland,1,2,1,3,2
+North,Bland,3,4,0,,5
+"""
+LONG = """iso_code,location,date,total_cases,total_deaths,extra
+AAA,Aland,2020-01-22,10.0,,x
+AAA,Aland,2020-01-23,14.0,1.0,x
+WRL,World,2020-01-23,99.0,9.0,x
+"""
+SINGLE = """date,cases,deaths
+2020-01-22,11,0
+2020-01-23,15,2
+"""
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("jobs")
+    for name, text in {"wide": WIDE, "long": LONG, "single": SINGLE, "names": "name\nAland\nBland\n"}.items():
+        (root / f"{name}.csv").write_text(text)
+    at = lambda name: str(root / name)
+    main(["load", "--wide", at("wide.csv"), "--long", at("long.csv"), "--single", at("single.csv"),
+          "--single-country", "Aland", "--tags", "W", "L", "S", "--out", at("cases")])
+    main(["offload", "--cases", at("cases"), "--format", "json", "--option", f"path={at('docs')}"])
+    main(["export", "--cases", at("cases"), "--out", at("jsonl"), "--max-files", "16"])
+    main(["compact", "--source", at("jsonl"), "--target", at("compacted"), "--max-files", "1"])
+    main(["enrich", "--cases", at("cases"), "--out", at("enriched")])
+    main(["reports", "--format", "json", "--option", f"path={at('docs')}", "--out", at("reports")])
+    main(["dashboard", "--enriched", at("enriched"), "--names", at("names.csv"), "--out", at("tables")])
+    return at
+
+
+def test_load(spark, folder):
+    d = lambda n: dt.date(2020, 1, n)
+    assert ordered(rows(src.read_parquet(spark, folder("cases")), "date", "country", "state", "confirmed", "deaths", "source")) == ordered([
+        (d(22), "Aland", None, 1, None, "W"), (d(23), "Aland", None, 3, None, "W"), (d(24), "Aland", None, 2, None, "W"),
+        (d(22), "Bland", "North", 0, None, "W"), (d(23), "Bland", "North", None, None, "W"), (d(24), "Bland", "North", 5, None, "W"),
+        (d(22), "Aland", None, 10, None, "L"), (d(23), "Aland", None, 14, 1.0, "L"), (d(23), "World", None, 99, 9.0, "L"),
+        (d(22), "Aland", None, 11, 0.0, "S"), (d(23), "Aland", None, 15, 2.0, "S")])
+
+
+def test_copies_are_equal(spark, folder):
+    cases = ordered(rows(src.read_parquet(spark, folder("cases"))))
+    assert ordered(rows(src.read_documents(spark, "json", {"path": folder("docs")}))) == cases
+    assert ordered(rows(src.read_jsonl(spark, folder("jsonl")))) == cases
+    assert ordered(rows(src.read_jsonl(spark, folder("compacted")))) == cases
+
+
+def test_enriched_layout(spark, folder):
+    stored = spark.read.parquet(folder("enriched"))
+    assert stored.schema.simpleString() == ENRICHED.simpleString()
+    signed = rows(stored.where("country = 'Aland'").orderBy("date", "source"), "source", "daily_new_cases")
+    assert signed == [("L", 0), ("S", 1), ("W", -10), ("L", 13), ("S", 1), ("W", -12), ("W", -1)]
+
+
+def test_reports(spark, folder):
+    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(folder(f"reports/{name}"))
+    assert read("missing_summary").columns == [*CANON_NAMES, "total_rows"]
+    assert rows(read("missing_summary"), "state", "confirmed", "recovered", "total_rows") == [(8, 1, 11, 11)]
+    assert rows(read("world_daily_anomaly").orderBy("date"), "daily_new", "anomaly") == [(1, False), (14, True), (0, False)]
+    assert ordered(rows(read("country_daily"), "country", "daily_new")) == ordered(
+        [("Aland", 1), ("Aland", 14), ("Aland", 0), ("Bland", 0), ("Bland", 0), ("Bland", 0), ("World", 0)])
+    assert ordered(rows(read("country_cumulative"))) == ordered([("Aland", 15, 2.0), ("Bland", 5, None), ("World", 99, 9.0)])
+    assert rows(read("top20_confirmed"), "country") == [("World",), ("Aland",), ("Bland",)]
+    assert ordered(rows(read("unique_countries"))) == [("Aland",), ("Bland",), ("World",)]
+    assert rows(read("unique_states"), "state") == [(None,), ("North",)]
+
+
+def test_dashboard(spark, folder):
+    table = lambda name: spark.read.parquet(folder(f"tables/{name}"))
+    assert rows(table("global_totals"), "total_confirmed", "total_deaths", "latest_date") == [(7, 2, "2020-01-24")]
+    assert ordered(rows(table("latest_per_country"), "country", "confirmed", "deaths", "source")) == ordered([("Aland", 2, 2.0, "W"), ("Bland", 5, None, "W")])
+    assert rows(table("yearly_cumulative")) == [(2020, 7, 2.0)]
+    assert rows(table("countries_with_data")) == [("Aland",)]
+    assert table("box_stats").count() == 2
+    assert table("growth_rate").count() == 8
