@@ -330,3 +330,45 @@ def box_stats(spark, d):
 @query
 def box_outliers(spark, d):
     return op.box_outliers(_boxed(spark, d), columns=_kept("daily_new_cases"))
+
+
+# -- comparisons between feeds ------------------------------------------------------------------
+
+@query
+def wide_measures(spark, d):
+    staged = src.stage(fixtures.cases(spark, d))
+    return src.std_wide_measures(
+        confirmed=fixtures.as_wide_feed(staged),
+        deaths=fixtures.as_wide_feed(staged, "confirmed DIV 10"),
+        recovered=fixtures.as_wide_feed(staged, "confirmed DIV 2"),
+        source="WIDE",
+    )
+
+
+@query
+def feed_correlation(spark, d):
+    staged = src.stage(fixtures.cases(spark, d))
+    wide, long = (staged.where(F.col("source") == s) for s in ("WIDE", "LONG"))
+    return _rounded(op.correlate(wide, long, left_value="confirmed", right_value="confirmed"), "correlation")
+
+
+@query
+def growth_around_event(spark, d):
+    growth = op.growth_rate(op.positive(fixtures.cases(spark, d)), per_source=True)
+    return _rounded(op.growth_around(growth, fixtures.events(spark, d)), "growth_before", "growth_after")
+
+
+@query
+def one_row_per_day(spark, d):
+    return op.one_per_key(fixtures.cases(spark, d))
+
+
+@query
+def state_trend(spark, d):
+    with_state = fixtures.cases(spark, d).where(F.col("state").isNotNull())
+    return _rounded(op.cumulative_anomaly(with_state, keys=("state",)), "roll_mean")
+
+
+@query
+def subnational_gap(spark, d):
+    return op.subnational_gap(fixtures.cases(spark, d), national_source="LONG")

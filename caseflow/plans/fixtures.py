@@ -30,8 +30,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # its size threshold, else sort-merges and splits the partitions of busy customers.
 #
 # The WIDE feed has a cell for every month any order was placed in. The months are
-# collected over its counts (nations x segments x months), the LONG rows spread by
-# country meanwhile, and each series' first row adds the months the series lacks.
+# collected over its counts (nations x segments x months) while the LONG rows spread by
+# country, and each series' first row adds the months the series lacks. Both windows
+# share that partitioning.
 _CASES = """
 WITH places AS (
   SELECT c_custkey, n_nationkey AS nk, n_name AS country, c_mktsegment AS state
@@ -42,21 +43,21 @@ placed AS (
   FROM {orders} JOIN places ON o_custkey = c_custkey),
 counts AS (
   SELECT nk, country, state, coalesce(month, day) AS date, grouping(month) = 0 AS is_wide,
+         CASE WHEN grouping(month) = 1 THEN country END AS spread,
          count(1) AS n, count_if(pending) AS pending, count_if(filled) AS filled
   FROM placed
   GROUP BY GROUPING SETS ((nk, country, day), (country, state, month))),
+calendar AS (
+  SELECT *, collect_set(CASE WHEN is_wide THEN date END) OVER (PARTITION BY is_wide, spread) AS months
+  FROM counts),
 series AS (
-  SELECT nk, country, state, date, is_wide, pending,
+  SELECT nk, country, state, date, is_wide, pending, months,
          sum(n) OVER up_to_here AS total,
          CAST(nullif(sum(filled) OVER up_to_here, 0) AS double) AS gone,
          row_number() OVER up_to_here = 1 AS opens,
-         collect_set(CASE WHEN is_wide THEN date END) OVER (PARTITION BY is_wide, country, state) AS own_months
-  FROM counts
-  WINDOW up_to_here AS (PARTITION BY is_wide, country, state ORDER BY date)),
-calendar AS (
-  SELECT *, collect_set(CASE WHEN is_wide THEN date END)
-              OVER (PARTITION BY is_wide, CASE WHEN NOT is_wide THEN country END) AS months
-  FROM series),
+         collect_set(CASE WHEN is_wide THEN date END) OVER (PARTITION BY is_wide, spread, country, state) AS own_months
+  FROM calendar
+  WINDOW up_to_here AS (PARTITION BY is_wide, spread, country, state ORDER BY date)),
 cells AS (
   SELECT country, state, gone, inline(CASE
     WHEN is_wide AND opens THEN concat(
@@ -68,7 +69,7 @@ cells AS (
                            named_struct('date', date, 'confirmed', total - 2 * pending + 1, 'source', 'SINGLE'))
     ELSE array(named_struct('date', date, 'confirmed', total - 2 * pending, 'source', 'LONG'))
   END)
-  FROM calendar)
+  FROM series)
 SELECT date, country, state, confirmed, CASE WHEN source <> 'WIDE' THEN gone END AS deaths,
        CAST(NULL AS double) AS recovered, source
 FROM cells
@@ -91,9 +92,16 @@ def iso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.where(F.col("n_nationkey") % 10 != 3).select(F.col("n_name").alias("name"))
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event day per country: (country, event_date)."""
+    nation = read_table(spark, sf_dir, "nation")
+    day = F.expr("add_months(DATE'1997-01-01', n_nationkey)")
+    return nation.select(F.col("n_name").alias("country"), day.alias("event_date"))
+
+
 # -- the three feeds in the shape their publishers use ---------------------------
 
-def as_wide_feed(staged: DataFrame) -> DataFrame:
+def as_wide_feed(staged: DataFrame, value: str = "confirmed") -> DataFrame:
     """One column per month, named like ``1/1/15`` (dates move 20 years, see below).
 
     Takes a stored table: the column names are read from it before the pivot, as a
@@ -111,11 +119,11 @@ def as_wide_feed(staged: DataFrame) -> DataFrame:
             F.lit(0.0).alias("Lat"),
             F.lit(0.0).alias("Long"),
             label.alias("label"),
-            "confirmed",
+            F.expr(value).alias("value"),
         )
         .groupBy("Province/State", "Country/Region", "Lat", "Long")
         .pivot("label", names)
-        .agg(F.max("confirmed"))
+        .agg(F.max("value"))
     )
 
 

@@ -247,4 +247,50 @@ ORACLE: dict[str, str] = {
     "box_outliers": _sql("""
         SELECT date, country, state, source, daily_new_cases FROM boxed JOIN fences USING (country)
         WHERE daily_new_cases NOT BETWEEN lower_fence AND upper_fence"""),
+    # comparisons between feeds
+    "wide_measures": _sql("""
+        SELECT CAST(date + INTERVAL 20 YEAR AS DATE) AS date, country, state, confirmed,
+               CAST(confirmed // 10 AS DOUBLE) AS deaths, CAST(confirmed // 2 AS DOUBLE) AS recovered, source
+        FROM wide_src"""),
+    "feed_correlation": _sql("""
+        , a AS (SELECT country, date, SUM(confirmed) AS x FROM wide_src GROUP BY country, date),
+        b AS (SELECT country, date, SUM(confirmed) AS y FROM long_src GROUP BY country, date)
+        SELECT country, COUNT(*) AS n_days,
+               CASE WHEN COUNT(DISTINCT x) > 1 AND COUNT(DISTINCT y) > 1
+                    THEN ROUND(corr(CAST(x AS DOUBLE), CAST(y AS DOUBLE)), 6) END AS correlation
+        FROM a JOIN b USING (country, date) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY country"""),
+    "growth_around_event": _sql("""
+        , step AS (
+          SELECT *, LAG(confirmed) OVER (PARTITION BY country, source ORDER BY date, COALESCE(state, '')) AS prev
+          FROM cases WHERE confirmed > 0),
+        grown AS (SELECT *, COALESCE(CAST(confirmed AS DOUBLE) / prev - 1, 0) AS rate FROM step),
+        happened AS (
+          SELECT n_name AS country,
+                 CAST(DATE '1997-01-01' + to_months(CAST(n_nationkey AS INTEGER)) AS DATE) AS event_date
+          FROM nation)
+        SELECT country, event_date, ROUND(AVG(rate) FILTER (date < event_date), 6) AS growth_before,
+               ROUND(AVG(rate) FILTER (date >= event_date), 6) AS growth_after
+        FROM grown JOIN happened USING (country) GROUP BY country, event_date"""),
+    "one_row_per_day": _sql("""
+        SELECT date, country, state, confirmed, deaths, recovered, source FROM cases
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY country, state, date ORDER BY source DESC) = 1"""),
+    "state_trend": _sql("""
+        , day AS (
+          SELECT state, date, CAST(COALESCE(SUM(confirmed), 0) AS BIGINT) AS confirmed
+          FROM cases WHERE state IS NOT NULL GROUP BY state, date),
+        step AS (SELECT *, LAG(confirmed) OVER (PARTITION BY state ORDER BY date) AS prev FROM day),
+        new AS (SELECT *, CASE WHEN prev IS NOT NULL THEN GREATEST(confirmed - prev, 0) END AS daily_new FROM step),
+        rolled AS (
+          SELECT *, AVG(daily_new) OVER (
+            PARTITION BY state ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS roll
+          FROM new)
+        SELECT state, date, confirmed, prev, daily_new, ROUND(roll, 6) AS roll_mean,
+               COALESCE(daily_new > roll * 1.5, FALSE) AS anomaly
+        FROM rolled"""),
+    "subnational_gap": _sql("""
+        , a AS (
+          SELECT country, date, CAST(SUM(confirmed) AS BIGINT) AS regional FROM wide_src
+          GROUP BY country, date HAVING SUM(confirmed) IS NOT NULL),
+        b AS (SELECT country, date, CAST(SUM(confirmed) AS BIGINT) AS national FROM long_src GROUP BY country, date)
+        SELECT country, date, regional, national, regional - national AS gap FROM a FULL JOIN b USING (country, date)"""),
 }

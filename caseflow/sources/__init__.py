@@ -6,6 +6,7 @@ from caseflow.sources.feeds import (
     std_long,
     std_single,
     std_wide,
+    std_wide_measures,
     value_columns,
     wide_to_long,
 )
@@ -26,6 +27,6 @@ from caseflow.sources.scratch import scratch_dir, stage
 __all__ = [
     "combine", "compact_jsonl", "preview", "read_csv", "read_csv_strings", "read_documents",
     "read_jsonl", "read_parquet", "scratch_dir", "sort_cases", "stage", "standardise", "std_long",
-    "std_single", "std_wide", "value_columns", "wide_to_long", "write_csv", "write_documents",
+    "std_single", "std_wide", "std_wide_measures", "value_columns", "wide_to_long", "write_csv", "write_documents",
     "write_jsonl", "write_parquet",
 ]

@@ -68,6 +68,26 @@ def std_wide(df: DataFrame, *, source: str, date_pattern: str = WIDE_DATE_PATTER
     )
 
 
+def std_wide_measures(
+    *, confirmed: DataFrame, deaths: DataFrame, recovered: DataFrame, source: str, date_pattern: str = WIDE_DATE_PATTERN
+) -> DataFrame:
+    """Three wide files of one layout, one per measure, as one canonical table.
+
+    In effect a full outer join on place and date. It is done by appending and
+    grouping, so null states match, and rows combine before the shuffle.
+    """
+    files = {"confirmed": confirmed, "deaths": deaths, "recovered": recovered}
+    parts = [wide_to_long(df, value=name, value_type=CANON[name].dataType) for name, df in files.items()]
+    ids = ["Province/State", "Country/Region", "date"]
+    cells = combine(*parts).groupBy(*ids).agg(*[F.max(name).alias(name) for name in files])
+    return standardise(
+        cells,
+        renames={"Country/Region": "country", "Province/State": "state"},
+        constants={"source": source},
+        date=parse_date(F.col("date"), date_pattern),
+    )
+
+
 def std_long(df: DataFrame, *, source: str) -> DataFrame:
     """The long multi-indicator feed: four of its columns are used, none has a state."""
     return standardise(
