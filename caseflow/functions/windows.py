@@ -6,7 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from caseflow.functions.scalars import tie_break
+
 ROLLING_ROWS = 7
+BY_DAY = (("date",),)
 
 
 def trailing_mean(
@@ -30,42 +33,49 @@ def previous_values(
     values: Mapping[str, str],
     *,
     keys: Sequence[str],
-    split_by: Sequence[str],
-    order_by: Sequence[Column],
+    order_by: Sequence[str],
+    pieces: Sequence[Sequence[str]] = BY_DAY,
+    copies: int = 0,
 ) -> DataFrame:
     """``lag`` of several columns within ``keys``, split so that no key needs one task.
 
-    ``values`` maps output name to input column. ``split_by`` must be a leading part
-    of ``order_by`` (the date, usually), so each (keys, split) piece is a contiguous
-    run of the key's rows. The lag is taken inside the pieces first. Only the first
-    row of a piece still lacks its predecessor, and that predecessor is the last row
-    of the piece before; so a second window over the pieces' edge rows alone
-    completes them. A task sorts one piece, or two rows per piece of one key.
+    ``values`` maps output name to input column. ``pieces`` lists, from fine to
+    coarse, leading parts of ``order_by`` to cut a key's rows by: each piece is a
+    contiguous run. The lag is taken inside the finest pieces first. Only the first
+    row of a piece then still lacks its predecessor, which is the last row of the
+    piece before; so each coarser window needs the edge rows of the finer pieces
+    alone, while the rows that are done stay spread out.
 
-    With an empty ``split_by`` this is the plain one-window lag, half the shuffling,
-    for keys known to be small.
+    With the default a task sorts one day of a key, or two rows per day of a key.
+    ``(("date", "source"), ("date",))`` also cuts a day with many feeds. ``copies``
+    spreads rows equal in all of ``order_by`` over that many tasks, by where they
+    were read; since they are equal, their order among themselves does not matter.
+    Every level shuffles once. ``pieces=()`` is the plain window, for small keys.
     """
-    keys = list(keys)
-    if not split_by:
-        whole = Window.partitionBy(*keys).orderBy(*order_by)
-        return df.withColumns({out: F.lag(src).over(whole) for out, src in values.items()})
-
-    piece = Window.partitionBy(*keys, *split_by).orderBy(*order_by)
-    is_first = F.lag(F.lit(1)).over(piece).isNull()
-    is_last = F.lead(F.lit(1)).over(piece).isNull()
-    inside = df.withColumns(
-        {
-            **{out: F.lag(src).over(piece) for out, src in values.items()},
-            "_first": is_first,
-            "_edge": is_first | is_last,
-        }
-    )
+    order, levels = list(order_by), [list(p) for p in pieces]
+    out = df
+    if copies:
+        out = out.withColumn("_salt", F.spark_partition_id() % copies)
+        order.append("_salt")
+        levels.insert(0, order)
+    levels.append([])
+    finest = levels[0]
 
-    inner_piece = [F.when(~F.col("_edge"), F.col(c)) for c in split_by]
-    edges = Window.partitionBy(*keys, "_edge", *inner_piece).orderBy(*order_by)
-    return inside.withColumns(
-        {
-            out: F.when(F.col("_first"), F.lag(src).over(edges)).otherwise(F.col(out))
-            for out, src in values.items()
+    for n, level in enumerate(levels):
+        if n == 0:
+            window = Window.partitionBy(*keys, *finest)
+            is_open, lacks = F.lit(True), F.lit(True)
+        else:
+            is_open, lacks = F.col("_open"), F.col("_first")
+            done = [F.col(c) if c in level else F.when(~is_open, F.col(c)) for c in finest]
+            window = Window.partitionBy(*keys, "_open", *done)
+        window = window.orderBy(*tie_break(*order))
+        step = {
+            name: F.lag(src).over(window) if n == 0 else F.when(lacks, F.lag(src).over(window)).otherwise(F.col(name))
+            for name, src in values.items()
         }
-    ).drop("_first", "_edge")
+        if level:
+            first, last = (f(F.lit(1)).over(window).isNull() for f in (F.lag, F.lead))
+            step |= {"_first": is_open & first, "_open": is_open & (first | last)}
+        out = out.withColumns(step)
+    return out.drop("_first", "_open", "_salt")

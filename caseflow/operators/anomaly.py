@@ -63,20 +63,23 @@ def anomaly_points(flagged: DataFrame) -> DataFrame:
     return flagged.where("anomaly")
 
 
-def growth_rate(
-    df: DataFrame, *, value: str = "confirmed", per_source: bool = False, split_by: Sequence[str] = ("date",)
-) -> DataFrame:
+def growth_rate(df: DataFrame, *, value: str = "confirmed", per_source: bool = False, **split) -> DataFrame:
     """Add ``growth_rate`` (value over the country's previous row, less 1) and ``growth_pct``.
 
     States and feeds of a country follow each other by date, state and source unless
-    ``per_source``. The first row grows by 0.
+    ``per_source``. The first row grows by 0. ``split`` goes to :func:`previous_values`.
     """
     keys = ["country", "source"] if per_source else ["country"]
-    order = [*tie_break("date"), F.coalesce("state", F.lit("")).asc(), *tie_break("source", value)]
-    lagged = previous_values(df, {"_prev": value}, keys=keys, split_by=split_by, order_by=order)
+    lagged = previous_values(
+        df.withColumn("_state", F.coalesce("state", F.lit(""))),
+        {"_prev": value},
+        keys=keys,
+        order_by=["date", "_state", "source", value],
+        **split,
+    )
     rate = F.coalesce(F.try_divide(F.col(value).cast("double"), F.col("_prev")) - 1, F.lit(0.0))
     return (
         lagged.withColumn("growth_rate", rate)
         .withColumn("growth_pct", F.col("growth_rate") * 100)
-        .drop("_prev")
+        .drop("_prev", "_state")
     )

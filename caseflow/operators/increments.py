@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caseflow.functions.scalars import or_zero, tie_break
+from caseflow.functions.scalars import or_zero
 from caseflow.functions.windows import previous_values
 from caseflow.schema import PLACE
 
@@ -25,7 +25,7 @@ def lag_prev(
     keys: Sequence[str] = PLACE,
     null_keys: str = "group",
     per_source: bool = False,
-    split_by: Sequence[str] = ("date",),
+    **split,
 ) -> DataFrame:
     """Add the previous row's values within ``keys`` by date.
 
@@ -34,7 +34,8 @@ def lag_prev(
 
     ``null_keys="group"`` treats a null key as a value of its own, as SQL windows
     do; ``"drop"`` gives such rows no predecessor. ``per_source`` keeps the feeds of
-    one place apart. ``split_by=()`` asks for the plain one-window lag.
+    one place apart. ``split`` goes to :func:`previous_values`: how a large place is
+    cut (``pieces``), and whether its copies are spread (``copies``).
     """
     if null_keys not in ("group", "drop"):
         raise ValueError(f"null_keys: {null_keys!r}")
@@ -43,8 +44,8 @@ def lag_prev(
         df,
         values,
         keys=places,
-        split_by=split_by,
-        order_by=tie_break("date", "source", *dict.fromkeys(values.values())),
+        order_by=["date", "source", *dict.fromkeys(values.values())],
+        **split,
     )
     if null_keys == "drop":
         known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])

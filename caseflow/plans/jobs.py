@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from caseflow import operators as op, sources as src
 from caseflow.schema import PLACE
 
+# Stored feeds may repeat an observation any number of times; see previous_values.
+SPREAD_COPIES = 1024
+
 
 def load(
     spark: SparkSession,
@@ -51,7 +54,7 @@ def export_jsonl(spark: SparkSession, *, cases: str, out: str, max_files: int |
 
 def enrich(cases: DataFrame, *, out: str) -> None:
     """Previous values and signed increments, as Parquet."""
-    src.write_parquet(op.daily_new(cases, clip=False), out)
+    src.write_parquet(op.daily_new(cases, clip=False, copies=SPREAD_COPIES), out)
 
 
 def reports(cases: DataFrame, *, out: str, exclude: DataFrame | None = None) -> None:
@@ -62,7 +65,7 @@ def reports(cases: DataFrame, *, out: str, exclude: DataFrame | None = None) ->
     """
     src.write_csv(op.missing_summary(cases), f"{out}/missing_summary")
 
-    country_day = src.stage(op.country_daily(op.daily_new(cases)))
+    country_day = src.stage(op.country_daily(op.daily_new(cases, copies=SPREAD_COPIES)))
     world = op.flag_anomalies(op.world_daily(country_day, value="daily_new"))
     src.write_csv(world, f"{out}/world_daily_anomaly")
     src.write_csv(country_day, f"{out}/country_daily", partition_by=["country"])
@@ -94,5 +97,5 @@ def dashboard(enriched: DataFrame, names: DataFrame, *, out: str) -> None:
     increments = op.non_negative(valid)
     src.write_parquet(op.box_stats(increments), f"{out}/box_stats")
     src.write_parquet(op.box_outliers(increments), f"{out}/box_outliers")
-    growth = op.growth_rate(valid).select("date", "country", "state", "source", "growth_rate", "growth_pct")
+    growth = op.growth_rate(valid, copies=SPREAD_COPIES).select("date", "country", "state", "source", "growth_rate", "growth_pct")
     src.write_parquet(growth.repartitionByRange("country", "date"), f"{out}/growth_rate")

@@ -46,5 +46,5 @@ def test_growth_by_date_state_and_source(make):
     assert out == [("A", 10, 0.0, 0.0), ("A", 20, 1.0, 100.0), ("A", 30, 0.5, 50.0), ("B", 5, 0.0, 0.0), ("B", 0, -1.0, -100.0), ("B", 5, 0.0, 0.0)]
     apart = rows(op.growth_rate(df, per_source=True).where("country = 'A'").orderBy("date", "state"), "growth_rate")
     assert apart == [(0.0,), (0.0,), (2.0,)]
-    whole = rows(op.growth_rate(df, split_by=()).orderBy("country", "date", "state"), "country", "confirmed", "growth_rate", "growth_pct")
+    whole = rows(op.growth_rate(df, pieces=()).orderBy("country", "date", "state"), "country", "confirmed", "growth_rate", "growth_pct")
     assert whole == out

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from caseflow import operators as op
-from caseflow.functions import previous_values, tie_break
+from caseflow.functions import previous_values
 from caseflow.schema import CANON
 
 from conftest import day, ordered, plan, rows
@@ -86,22 +86,31 @@ case = st.tuples(
 def test_split_lag_equals_one_window(spark, cases):
     full = [(None if d is None else day(d), c, s, n, None if x is None else float(x), None, src) for d, c, s, n, x, src in cases]
     df = spark.createDataFrame(full, CANON)
-    whole = ordered(rows(op.lag_prev(df, split_by=())))
+    whole = ordered(rows(op.lag_prev(df, pieces=())))
     assert ordered(rows(op.lag_prev(df))) == whole
-    assert ordered(rows(op.lag_prev(df, split_by=("date", "source")))) == whole
+    assert ordered(rows(op.lag_prev(df, pieces=(("date", "source"), ("date",))))) == whole
+    assert ordered(rows(op.lag_prev(df.repartition(4), copies=3))) == whole
 
 
 def test_split_lag_on_raw_rows_of_a_few_hot_keys(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("day", F.to_date("ts"))
-    order = tie_break("day", "ts", "event_id")
     split, whole = (
-        previous_values(events, {"before": "event_id"}, keys=["event_type"], split_by=s, order_by=order)
-        for s in (["day"], [])
+        previous_values(events, {"before": "event_id"}, keys=["event_type"], order_by=["day", "ts", "event_id"], pieces=p)
+        for p in ([["day"]], [])
     )
     columns = ("event_id", "before")
     assert ordered(rows(split, *columns)) == ordered(rows(whole, *columns))
 
 
+def test_copies_are_spread_over_tasks(make):
+    df = make(*[(1, "A", None, 5, 1, "L")] * 40, (2, "A", None, 7, 2, "L"), (1, "A", None, 1, 0, "K")).repartition(8)
+    out = op.daily_new(df, copies=8)
+    assert ordered(rows(out, "confirmed", "prev_confirmed", "daily_new_cases")) == ordered(
+        [(1, None, 0), (5, 1, 4), *[(5, 5, 0)] * 39, (7, 5, 2)])
+    exchanges = [line for line in plan(op.daily_new(df, copies=8)).splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 3 and "_salt" in exchanges[-1]
+
+
 def test_both_lags_share_a_window_and_the_key_is_split_by_day(make):
     text = plan(op.lag_prev(make((1, "A", None, 1, 1, "L"))))
     assert text.count("Window [") <= 2 and text.count("Exchange hashpartitioning") == 2
