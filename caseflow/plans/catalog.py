@@ -318,18 +318,20 @@ def countries_with_data(spark, d):
     return op.countries_with_data(_reported(_signed(spark, d), spark, d))
 
 
-def _boxed(spark, d):
-    return op.non_negative(_reported(_signed(spark, d), spark, d))
+def _boxed(spark, d, *columns: str) -> DataFrame:
+    # read by the count of values, the rank search and the comparison with the fences
+    return src.stage(op.non_negative(_reported(_signed(spark, d), spark, d)).select(*columns))
 
 
 @query
 def box_stats(spark, d):
-    return _rounded(op.box_stats(_boxed(spark, d)), "q1", "median", "q3", "lower_fence", "upper_fence")
+    boxes = op.box_stats(_boxed(spark, d, "country", "daily_new_cases"))
+    return _rounded(boxes, "q1", "median", "q3", "lower_fence", "upper_fence")
 
 
 @query
 def box_outliers(spark, d):
-    return op.box_outliers(_boxed(spark, d), columns=_kept("daily_new_cases"))
+    return op.box_outliers(_boxed(spark, d, *_kept("daily_new_cases")))
 
 
 # -- comparisons between feeds ------------------------------------------------------------------
