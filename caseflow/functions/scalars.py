@@ -19,13 +19,27 @@ def parse_date(text: Column, pattern: str | None = None) -> Column:
     return F.try_to_date(text, pattern) if pattern else F.try_to_date(text)
 
 
-def to_type(value: Column, found: T.DataType, wanted: T.DataType) -> Column:
-    """Cast; text that does not fit gives null, and whole numbers may be written ``5.0``."""
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def cast_sql(name: str, found: T.DataType, wanted: T.DataType) -> str:
+    """The cast of a column, as SQL: a table of a thousand columns is one parse, not
+    thousands of calls. Text that does not fit gives null, and whole numbers may be
+    written ``5.0``.
+    """
+    column, target = quoted(name), wanted.simpleString()
     if found == wanted:
-        return value
-    if isinstance(found, T.StringType) and isinstance(wanted, T.IntegralType):
-        return F.coalesce(value.try_cast(wanted), value.try_cast("double").try_cast(wanted))
-    return value.try_cast(wanted) if isinstance(found, T.StringType) else value.cast(wanted)
+        return column
+    if not isinstance(found, T.StringType):
+        return f"CAST({column} AS {target})"
+    if isinstance(wanted, T.IntegralType):
+        return f"coalesce(try_cast({column} AS {target}), try_cast(try_cast({column} AS double) AS {target}))"
+    return f"try_cast({column} AS {target})"
 
 
 def with_thousands(number: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
-from caseflow.functions.scalars import to_type
+from caseflow.functions.scalars import cast_sql, quoted
 
 CANON = T.StructType(
     [
@@ -45,11 +45,11 @@ def enforce(df: DataFrame, schema: T.StructType = CANON) -> DataFrame:
     so the scan below only reads what the schema names.
     """
     found = {f.name: f.dataType for f in df.schema}
-    return df.select(
+    return df.selectExpr(
         *[
-            to_type(F.col(f.name), found[f.name], f.dataType).alias(f.name)
+            f"{cast_sql(f.name, found[f.name], f.dataType)} AS {quoted(f.name)}"
             if f.name in found
-            else F.lit(None).cast(f.dataType).alias(f.name)
+            else f"CAST(NULL AS {f.dataType.simpleString()}) AS {quoted(f.name)}"
             for f in schema
         ]
     )

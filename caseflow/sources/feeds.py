@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from caseflow.functions.scalars import parse_date, tie_break, to_type
+from caseflow.functions.scalars import cast_sql, literal, parse_date, quoted, tie_break
 from caseflow.schema import CANON, CANON_NAMES, enforce
 
 # Fixed values of the wide feed's layout.
@@ -34,15 +34,10 @@ def wide_to_long(
     faster than ``unpivot``. Values are cast to one type first because ``stack``
     takes only one; text that is no number becomes null.
     """
-    cells = [
-        part
-        for c in value_columns(df, ids)
-        for part in (F.lit(c), to_type(F.col(_quoted(c)), df.schema[c].dataType, value_type))
-    ]
-    return df.select(
-        *[F.col(_quoted(c)) for c in ids],
-        F.stack(F.lit(len(cells) // 2), *cells).alias(name, value),
-    )
+    found = {f.name: f.dataType for f in df.schema}
+    cells = [f"{literal(c)}, {cast_sql(c, found[c], value_type)}" for c in value_columns(df, ids)]
+    stacked = f"stack({len(cells)}, {', '.join(cells)}) AS ({quoted(name)}, {quoted(value)})"
+    return df.selectExpr(*[quoted(c) for c in ids], stacked)
 
 
 def standardise(
@@ -127,7 +122,3 @@ def sort_cases(df: DataFrame, *, nulls: str = "first") -> DataFrame:
 def preview(df: DataFrame, rows: int = 20, *, nulls: str = "first") -> DataFrame:
     """The first rows in that order: a distributed top-k, not a full sort."""
     return sort_cases(df, nulls=nulls).limit(rows)
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
