@@ -28,10 +28,10 @@ CHUNK = 128  # candidates of a query evaluated before its threshold is looked at
 
 
 def _whole(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """(vec_id, v array<int>) of the vectors that take part."""
+    """(vec_id, v array<long>) of the vectors that take part."""
     clean = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return only(vectors, vec_id, embedding).where(F.col(embedding).isNotNull() & clean & F.col(vec_id).isNotNull()).select(
-        F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v")
+        F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: F.floor(x.cast("double") * scale)).alias("v")
     )
 
 
@@ -93,7 +93,7 @@ def _packed(rows: DataFrame, block: Column, pivots: np.ndarray) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         pivots = received(sent)
-        x = np.array(t.column("v").to_pylist(), dtype=np.int32).reshape(t.num_rows, -1)
+        x = np.array(t.column("v").to_pylist(), dtype=np.int64).reshape(t.num_rows, -1)
         far = np.sqrt(((x[:, None, :].astype(np.float64) - pivots[None]) ** 2).sum(axis=2)).astype(np.float32)
         ids = t.column("vec_id").to_numpy().astype(np.int64)
         return pa.table({
@@ -111,7 +111,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ve
     ``vec_id``. The result has query_id, rank (from 1), vec_id, score; equal scores
     go to the smaller vec_id, and there are fewer rows where there are fewer candidates.
     Vectors that are null or hold null or non-finite components, and rows without an id,
-    take no part. Vectors of other lengths than the query's are no candidates. A
+    take no part. Scores are exact while they stay below 2^53. Vectors of other lengths than the query's are no candidates. A
     repeated id is a candidate as often as it occurs, and never for its own queries;
     as a query it counts once, its smallest vector.
     """
@@ -150,8 +150,8 @@ def _search(own: DataFrame, is_query: Column, k: int, dims: int, count: int, que
         for batch in batches:
             for row in batch.to_pylist():
                 q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-                q = np.frombuffer(row["q_x"], np.int32).reshape(-1, dims).astype(np.float64)
-                c = np.frombuffer(row["c_x"], np.int32).reshape(-1, dims).astype(np.float64)
+                q = np.frombuffer(row["q_x"], np.int64).reshape(-1, dims).astype(np.float64)
+                c = np.frombuffer(row["c_x"], np.int64).reshape(-1, dims).astype(np.float64)
                 q_far = np.frombuffer(row["q_far"], np.float32).reshape(len(q_ids), -1)
                 c_far = np.frombuffer(row["c_far"], np.float32).reshape(len(c_ids), -1)
                 least = np.full(len(q_ids), -np.inf)
