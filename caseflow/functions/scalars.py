@@ -29,16 +29,21 @@ def literal(text: str) -> str:
 
 def cast_sql(name: str, found: T.DataType, wanted: T.DataType) -> str:
     """The cast of a column, as SQL: a table of a thousand columns is one parse, not
-    thousands of calls. Text that does not fit gives null, and whole numbers may be
-    written ``5.0``.
+    thousands of calls. What does not fit gives null: unreadable text, numbers out of
+    range, and for whole numbers any fraction (``5.0`` is 5, ``5.7`` is not cut to 5),
+    NaN and infinity.
     """
     column, target = quoted(name), wanted.simpleString()
     if found == wanted:
         return column
+    if isinstance(found, T.FractionalType) and isinstance(wanted, T.IntegralType):
+        return f"CASE WHEN {column} % 1 = 0 THEN try_cast({column} AS {target}) END"
     if not isinstance(found, T.StringType):
-        return f"CAST({column} AS {target})"
+        cast = "try_cast" if isinstance(wanted, T.IntegralType) else "CAST"
+        return f"{cast}({column} AS {target})"
     if isinstance(wanted, T.IntegralType):
-        return f"coalesce(try_cast({column} AS {target}), try_cast(try_cast({column} AS double) AS {target}))"
+        exact = f"try_cast({column} AS decimal(38,18))"  # digits a double would lose
+        return f"coalesce(try_cast({column} AS {target}), CASE WHEN {exact} % 1 = 0 THEN try_cast({exact} AS {target}) END)"
     return f"try_cast({column} AS {target})"
 
 

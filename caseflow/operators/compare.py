@@ -34,15 +34,21 @@ def correlate(
 
 
 def growth_around(growth: DataFrame, events: DataFrame, *, rate: str = "growth_rate") -> DataFrame:
-    """Mean growth before and from the event day on, per row of ``events`` (country, event_date)."""
+    """Mean growth before and from the event day on, per (country, event_date) of ``events``.
+
+    Growth is summed per country and day before the join, which so sees at most the
+    calendar per country. An event of a country without rows has null means.
+    """
     before = F.col("date") < F.col("event_date")
+    daily = growth.groupBy("country", "date").agg(F.sum(rate).alias("_sum"), F.count(rate).alias("_n"))
+
+    def mean(when):
+        return F.try_divide(F.sum(F.when(when, F.col("_sum"))), F.sum(F.when(when, F.col("_n"))))
+
     return (
-        growth.join(events, "country")
+        events.join(daily, "country", "left")
         .groupBy("country", "event_date")
-        .agg(
-            F.avg(F.when(before, F.col(rate))).alias("growth_before"),
-            F.avg(F.when(~before, F.col(rate))).alias("growth_after"),
-        )
+        .agg(mean(before).alias("growth_before"), mean(~before).alias("growth_after"))
     )
 
 

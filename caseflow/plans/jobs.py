@@ -16,6 +16,7 @@ from caseflow.schema import PLACE
 
 # Stored feeds may repeat an observation any number of times; see previous_values.
 SPREAD_COPIES = 1024
+REPORT_NULL = '""'  # as the published reports have it
 
 
 def load(
@@ -63,12 +64,12 @@ def reports(cases: DataFrame, *, out: str, exclude: DataFrame | None = None) ->
     Three passes over the cases: profile, increments, maxima. ``exclude`` names
     aggregates (continents, income groups) to leave out of the cumulative reports.
     """
-    src.write_csv(op.missing_summary(cases), f"{out}/missing_summary")
+    src.write_csv(op.missing_summary(cases), f"{out}/missing_summary", null_value=REPORT_NULL)
 
     country_day = src.stage(op.country_daily(op.daily_new(cases, copies=SPREAD_COPIES)))
     world = op.flag_anomalies(op.world_daily(country_day, value="daily_new"))
-    src.write_csv(world, f"{out}/world_daily_anomaly")
-    src.write_csv(country_day, f"{out}/country_daily", partition_by=["country"])
+    src.write_csv(world, f"{out}/world_daily_anomaly", null_value=REPORT_NULL)
+    src.write_csv(country_day, f"{out}/country_daily", partition_by=["country"], null_value=REPORT_NULL)
 
     place_max = src.stage(
         cases.groupBy(*PLACE).agg(F.max("confirmed").alias("confirmed"), F.max("deaths").alias("deaths"))
@@ -76,10 +77,10 @@ def reports(cases: DataFrame, *, out: str, exclude: DataFrame | None = None) ->
     cumulative = op.cumulative_max(place_max)
     if exclude is not None:
         cumulative = op.exclude_names(cumulative, exclude)
-    src.write_csv(cumulative, f"{out}/country_cumulative")
-    src.write_csv(op.top_k(cumulative), f"{out}/top20_confirmed")
-    src.write_csv(op.unique_values(place_max, "country"), f"{out}/unique_countries")
-    src.write_csv(op.unique_values(place_max, "state"), f"{out}/unique_states")
+    src.write_csv(cumulative, f"{out}/country_cumulative", null_value=REPORT_NULL)
+    src.write_csv(op.top_k(cumulative), f"{out}/top20_confirmed", null_value=REPORT_NULL)
+    src.write_csv(op.unique_values(place_max, "country"), f"{out}/unique_countries", null_value=REPORT_NULL)
+    src.write_csv(op.unique_values(place_max, "state"), f"{out}/unique_states", null_value=REPORT_NULL)
 
 
 def dashboard(enriched: DataFrame, names: DataFrame, *, out: str) -> None:

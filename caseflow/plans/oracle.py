@@ -270,7 +270,7 @@ ORACLE: dict[str, str] = {
           FROM nation)
         SELECT country, event_date, ROUND(AVG(rate) FILTER (date < event_date), 6) AS growth_before,
                ROUND(AVG(rate) FILTER (date >= event_date), 6) AS growth_after
-        FROM grown JOIN happened USING (country) GROUP BY country, event_date"""),
+        FROM happened LEFT JOIN grown USING (country) GROUP BY country, event_date"""),
     "one_row_per_day": _sql("""
         SELECT date, country, state, confirmed, deaths, recovered, source FROM cases
         QUALIFY ROW_NUMBER() OVER (PARTITION BY country, state, date ORDER BY source DESC) = 1"""),

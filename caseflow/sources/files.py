@@ -12,49 +12,71 @@ from caseflow.schema import CANON, all_strings, enforce
 
 # -- CSV ----------------------------------------------------------------------
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = CANON) -> DataFrame:
-    """CSV with a header. ``schema=None`` infers types, at the price of one more pass."""
-    reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(path)
+NULL = r"\N"  # stands for null, so that empty text stays empty text
 
+# Quotes are doubled, white space around values is kept.
+_DIALECT = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
-def read_csv_strings(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = CANON, *, null_value: str = NULL, multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header, brought to ``schema`` by the names in the header.
+
+    Absent columns are null, others are left out, and values that do not fit are null
+    (see ``cast_sql``). ``schema=None`` infers types, at the price of one more pass.
+    Blank values and ``null_value`` are null, quoted empty ones are empty text; with
+    ``null_value=""`` both are null. ``multi_line`` reads values with line breaks;
+    files are then no longer split, so it is off by default.
+    """
+    if schema:
+        return enforce(read_csv_strings(spark, path, null_value=null_value, multi_line=multi_line), schema)
+    return spark.read.options(**_DIALECT, nullValue=null_value, multiLine=multi_line, inferSchema=True).csv(path)
+
+
+def read_csv_strings(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, *, null_value: str = NULL, multi_line: bool = False
+) -> DataFrame:
     """CSV with a header, every column text; cast later with ``schema.enforce``.
 
-    Names come from the header line, or from ``schema`` to skip looking at it.
+    Columns are those of the header, or those that ``schema`` names, found by name.
     """
-    reader = spark.read.option("header", True)
-    return (reader.schema(all_strings(schema)) if schema else reader).csv(path)
+    found = spark.read.options(**_DIALECT, nullValue=null_value, multiLine=multi_line).csv(path)
+    # a folder's partition columns may come back as numbers
+    return enforce(found, all_strings(schema or found.schema))
 
 
-def write_csv(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), files: int | None = None) -> None:
+def write_csv(
+    df: DataFrame, path: str, *, partition_by: Sequence[str] = (), files: int | None = None, null_value: str = NULL
+) -> None:
     """CSV with a header, replacing what is there.
 
+    Null is written as ``null_value``, empty text as ``""``. Text equal to
+    ``null_value`` cannot be told from null when read. With ``null_value='""'``, as the
+    reports have it, empty text is read back as null by ``null_value=""``. Values with
+    line breaks are quoted and need ``multi_line`` when read, and so does white space
+    alone in a file of one column, whose line passes for a blank one.
+
     With ``partition_by`` the rows are first rebalanced on those columns: a value
     gets few files, and a value holding much of the data is split over several tasks
     instead of flowing through one. ``files`` caps the file count and suits small
-    reports only, since it also caps the tasks that write. A null in the only data
-    column is written as ``""``: its line would be blank otherwise, and a blank line
-    is left out.
+    reports only, since it also caps the tasks that write.
     """
-    only_column = len(df.columns) - len(partition_by) == 1
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     elif files:
         df = df.coalesce(files)
-    writer = df.write.mode("overwrite").option("header", True)
-    if only_column:
-        writer = writer.option("nullValue", '""')
-    writer.partitionBy(*partition_by).csv(path)
+    df.write.mode("overwrite").options(**_DIALECT, nullValue=null_value).partitionBy(*partition_by).csv(path)
 
 
 # -- Parquet ------------------------------------------------------------------
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType = CANON) -> DataFrame:
-    """Parquet, brought to ``schema``; date text or timestamps become dates."""
-    df = spark.read.parquet(path)
-    return enforce(df, schema)
+    """Parquet, brought to ``schema``; date text or timestamps become dates.
+
+    Columns are those of all files together: later files may have more.
+    """
+    return enforce(spark.read.option("mergeSchema", True).parquet(path), schema)
 
 
 def write_parquet(df: DataFrame, path: str, *, partition_by: Sequence[str] = ()) -> None:
@@ -63,29 +85,33 @@ def write_parquet(df: DataFrame, path: str, *, partition_by: Sequence[str] = ())
 
 # -- JSON Lines ---------------------------------------------------------------
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = CANON) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = CANON, *, mode: str = "FAILFAST") -> DataFrame:
     """A folder of JSON Lines part files is one dataset.
 
+    Values are read as text and cast, so ``5.0`` is a whole number. A line that is no
+    JSON fails the job; ``mode="PERMISSIVE"`` makes it a row of nulls, ``DROPMALFORMED``
+    leaves it out.
+
     The writer leaves null fields out, so a column that is null everywhere is gone
     from the files; the schema brings it back.
     """
-    return spark.read.schema(schema).json(path)
+    return enforce(spark.read.schema(all_strings(schema)).option("mode", mode).json(path), schema)
 
 
 def write_jsonl(df: DataFrame, path: str, *, max_files: int | None = None) -> None:
-    """JSON Lines. ``max_files`` lowers the number of part files (and of writing tasks)."""
-    (df.coalesce(max_files) if max_files else df).write.mode("overwrite").json(path)
+    """JSON Lines. ``max_files`` caps the part files and writing tasks, not those that compute the rows."""
+    (df.repartition(max_files) if max_files else df).write.mode("overwrite").json(path)
 
 
-def compact_jsonl(spark: SparkSession, source: str, target: str, *, max_files: int | None = None) -> None:
-    """Rewrite many part files as fewer.
+def compact_jsonl(spark: SparkSession, source: str, target: str, *, max_files: int | None = None, pattern: str = "*") -> None:
+    """Rewrite many part files, those whose names match ``pattern``, as fewer.
 
     Lines are moved as text, neither parsed nor reformatted. By default adaptive
     execution picks the file sizes (its advisory partition size) and keeps the
     writing parallel; ``max_files=1`` gives the single file of a small export.
     """
-    lines = spark.read.text(source, pathGlobFilter="part-*")
-    lines = lines.coalesce(max_files) if max_files else lines.hint("rebalance")
+    lines = spark.read.text(source, pathGlobFilter=pattern)
+    lines = lines.repartition(max_files) if max_files else lines.hint("rebalance")
     lines.write.mode("overwrite").text(target)
 
 
@@ -102,10 +128,11 @@ def read_documents(
     """A document collection through any installed data source named by ``fmt``.
 
     How the collection is split for reading is the source's own option. Dates are
-    stored as text and parsed here. The store's own id is kept only on request.
+    stored as text and parsed here; whole numbers are asked for as text, since a store
+    may hold them as ``5.0``. The store's own id is kept only on request.
     """
     stored = T.StructType(
-        [T.StructField(f.name, T.StringType() if f.dataType == T.DateType() else f.dataType) for f in schema]
+        [T.StructField(f.name, T.StringType() if isinstance(f.dataType, (T.DateType, T.IntegralType)) else f.dataType) for f in schema]
     )
     wanted = schema
     if id_column:

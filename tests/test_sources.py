@@ -116,6 +116,46 @@ def test_csv_of_one_column_keeps_its_null(spark, sample, tmp_path):
     assert ordered(rows(src.read_csv(spark, path, sample.select("state").schema))) == ordered(rows(sample, "state"))
 
 
+def test_csv_keeps_text_and_finds_columns_by_name(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    texts = [("a", " lead "), ("b", ""), ("c", None), ("d", 'say "x", \\ y'), ("e", "\t"), ("f", "two\nlines")]
+    df = spark.createDataFrame(texts, "k string, t string")
+    src.write_csv(df, path)
+    swapped = spark.createDataFrame([], "t string, k string").schema
+    assert ordered(rows(src.read_csv(spark, path, swapped, multi_line=True), "k", "t")) == ordered(texts)
+    assert ordered(rows(src.read_csv_strings(spark, path, swapped, multi_line=True), "k", "t")) == ordered(texts)
+    one = df.where("k < 'f'").select("t")
+    src.write_csv(one, path)
+    assert ordered(rows(src.read_csv_strings(spark, path, multi_line=True))) == ordered(rows(one))
+
+
+def test_numbers_are_never_cut(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("country,date,confirmed,more\nA,2021-01-01,5.0,x\nB,x,5.7,x\nC,,9007199254740993.0,x\nD,,1e30,x\nE,,,x\n")
+    out = rows(src.read_csv(spark, str(tmp_path / "n.csv")), "country", "confirmed")
+    assert ordered(out) == ordered([("A", 5), ("B", None), ("C", 9007199254740993), ("D", None), ("E", None)])
+    odd = spark.createDataFrame([(5.0,), (5.7,), (float("nan"),), (float("inf"),), (1e30,), (None,)], "confirmed double")
+    assert rows(enforce(odd), "confirmed") == [(5,), (None,), (None,), (None,), (None,), (None,)]
+
+
+def test_json_accepts_whole_numbers_and_reports_broken_lines(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "x.json").write_text('{"country":"A","confirmed":5.0}\n{"country":"B","confirmed":7}\n')
+    assert ordered(rows(src.read_jsonl(spark, str(tmp_path / "j")), "country", "confirmed")) == [("A", 5), ("B", 7)]
+    src.compact_jsonl(spark, str(tmp_path / "j"), str(tmp_path / "all"))
+    assert src.read_jsonl(spark, str(tmp_path / "all")).count() == 2
+    (tmp_path / "j" / "y.json").write_text('{"country":"C"\n')
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        rows(src.read_jsonl(spark, str(tmp_path / "j")))
+    assert len(rows(src.read_jsonl(spark, str(tmp_path / "j"), mode="DROPMALFORMED"))) == 2
+
+
+def test_parquet_takes_columns_of_all_files(spark, tmp_path):
+    path = str(tmp_path / "grown")
+    spark.sql("SELECT 'A' country, 1L confirmed").write.parquet(path)
+    spark.sql("SELECT 'B' country, 2L confirmed, 9D deaths").write.mode("append").parquet(path)
+    assert ordered(rows(src.read_parquet(spark, path), "country", "deaths")) == ordered([("A", None), ("B", 9.0)])
+
+
 def test_parquet(spark, sample, tmp_path):
     path = str(tmp_path / "parquet")
     src.write_parquet(sample.withColumn("date", F.col("date").cast("timestamp_ntz")), path)
