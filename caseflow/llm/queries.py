@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import bpe, chat, decontaminate, html, jaccard, langid, lattice, licences, quality, topk
+from caseflow.llm import bpe, chat, decontaminate, html, jaccard, langid, lattice, licences, quality, tokencount, topk
 from caseflow.llm.common import table
 
 
@@ -63,11 +63,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_language_id, op3_lattice_likelihood, op4_licence_scan, op5_bpe,
         op6_exact_top_k, op7_jaccard_join, op8_html_extraction, op9_decontamination, op10_quality,
+        op11_token_counts,
     )
 }
 ORACLE: dict[str, str] = {}
