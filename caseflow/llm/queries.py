@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import bpe, chat, decontaminate, html, jaccard, langid, lattice, licences, quality, tokencount, topk
+from caseflow.llm import bpe, chat, decontaminate, filteraudit, html, jaccard, langid, lattice, licences, quality, tokencount, topk
 from caseflow.llm.common import table
 
 
@@ -67,12 +67,67 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_language_id, op3_lattice_likelihood, op4_licence_scan, op5_bpe,
         op6_exact_top_k, op7_jaccard_join, op8_html_extraction, op9_decontamination, op10_quality,
-        op11_token_counts,
+        op11_token_counts, op13_filter_audit,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op13_filter_audit": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), least AS (
+            SELECT text, min(doc_id) AS smallest FROM texts GROUP BY text
+        ), marks AS (
+            SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+        ), flags AS (
+            SELECT t.part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic,
+                   map {'A': len(words) < 200,
+                        'B': 100 * len(list_distinct(words)) < 50 * len(words),
+                        'C': 100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 2 * length(t.text),
+                        'D': regexp_matches(t.text, '[#$%&*|]'),
+                        'E': coalesce(t.doc_id > l.smallest, false)} AS fails
+            FROM texts t JOIN least l ON t.text = l.text LEFT JOIN marks m ON t.doc_id = m.doc_id
+        ), grouped AS (
+            SELECT part, good, toxic, fails, count(*) AS n FROM flags GROUP BY ALL
+        ), letters AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), steps AS (
+            SELECT filter_order, step, filter_order[step] AS letter, string_split(filter_order[1:step - 1], '') AS earlier
+            FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+        ), judged AS (
+            SELECT part, filter_order, step, letter, n, good, toxic, fails[letter] AS fails_it,
+                   step > 1 AND len(list_filter(earlier, lambda f: f <> '' AND fails[f])) > 0 AS gone,
+                   len(list_filter(map_values(fails), lambda v: v)) AS failed
+            FROM grouped, steps
+        ), summed AS (
+            SELECT part, filter_order, step, letter,
+                   sum(CASE WHEN NOT gone AND NOT fails_it THEN n ELSE 0 END) AS kept,
+                   sum(CASE WHEN NOT gone AND fails_it THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN gone AND fails_it THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN fails_it AND failed = 1 THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN NOT gone AND fails_it AND good THEN n ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN NOT gone AND fails_it AND toxic THEN n ELSE 0 END) AS toxic_lost
+            FROM judged GROUP BY ALL
+        )
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+               CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+               CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+        FROM summed
+    """,
+}

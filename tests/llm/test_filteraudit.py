@@ -1,0 +1,112 @@
+"""The filter audit against a plain computation, in any arrival order of the files."""
+
+from __future__ import annotations
+
+import itertools
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from caseflow.llm import filteraudit
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+GOOD = "plain words that go on and on without an end in sight " + " ".join(f"w{i}" for i in range(240))
+
+
+def brute(rows, labels):
+    """(part, order, step) -> counts, straight from the definition."""
+    good = {d for d, q, t in labels if q == 1 and d is not None}
+    toxic = {d for d, q, t in labels if t == 1 and d is not None}
+    fails = []
+    for doc_id, text, source in rows:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        bad = {
+            "A": len(words) < 200,
+            "B": 100 * len(set(words)) < 50 * len(words),
+            "C": 100 * len(re.findall("[A-Z]", text)) > 2 * len(text),
+            "D": bool(re.search(r"[#$%&*|]", text)),
+            "E": doc_id is not None and any(o is not None and o < doc_id and (t or "") == text for o, t, _ in rows),
+        }
+        fails.append((source or "", {k for k, v in bad.items() if v}, doc_id in good, doc_id in toxic))
+    out = {}
+    for part in {f[0] for f in fails}:
+        removed_by = Counter()
+        for order in itertools.permutations("ABCDE"):
+            left = [f for f in fails if f[0] == part]
+            mine = list(left)
+            for step, name in enumerate(order, 1):
+                gone = [f for f in left if name in f[1]]
+                redundant = sum(name in f[1] for f in mine) - len(gone)
+                left = [f for f in left if name not in f[1]]
+                out[part, "".join(order), step] = [len(left), len(gone), redundant, sum(f[1] == {name} for f in mine),
+                                                   sum(f[2] for f in gone), sum(f[3] for f in gone)]
+                removed_by[name] += len(gone)
+        for (p, order, step), counts in out.items():
+            if p == part:
+                counts.append(removed_by[order[step - 1]])
+    return out
+
+
+def write(spark, path, rows, files):
+    """One file after the other, so that they are taken in that order."""
+    for part in (rows[i::files] for i in range(files)):
+        spark.createDataFrame([(d, t, "en", s, 0) for d, t, s in part], DOC).withColumn("part", F.lit("x")).withColumn("good", F.lit(3)).coalesce(1).write.mode("append").parquet(path)
+
+
+def rows_():
+    loud, signs = GOOD.upper(), GOOD + " 100 %"
+    texts = [GOOD, loud, signs, "", None, "two words", GOOD, "a " * 300, signs, GOOD + " x", "é" * 10, loud, "x\x1fy " * 200]
+    rows = [(97 - i, t, ("s1", None, "", "s2")[i % 4]) for i, t in enumerate(texts * 3)]
+    rows += [(None, GOOD, "s1"), (None, GOOD, "s1"), (5, GOOD, "s2"), (5, GOOD, "s1"), (5, "two words", "s1"), (1, GOOD, "s3"), (200, GOOD, None)]
+    return rows + [(300 + i, "the very same copy", f"s{i % 5}") for i in range(400)]
+
+
+LABELS = [(5, 1, 0), (5, 0, 1), (97, 1, 1), (96, 1, 0), (95, 0, 1), (None, 1, 1), (1, 1, None), (310, 1, 1), (999, 1, 1)]
+
+
+@pytest.mark.parametrize("order", ["falling", "rising"])
+def test_equals_brute_force_whatever_arrives_first(spark, tmp_path, order):
+    rows = rows_()
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int").withColumn("failed", F.lit(1))
+    arriving = sorted(rows, key=lambda r: (r[0] or 0), reverse=order == "falling")
+    write(spark, str(tmp_path / "d.parquet"), arriving, 6)
+    expected = brute(rows, LABELS)
+    got = filteraudit.audit(spark, str(tmp_path / "d.parquet"), labels, batches=6).collect()
+    found = {(r.part, r.filter_order, r.step): [r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley] for r in got}
+    assert len(found) == len(got) == 600 * len({r[2] or "" for r in rows})
+    assert found == expected
+
+
+def test_smaller_ids_retract_what_was_counted():
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    import pandas as pd
+
+    names = ["part", "good", "toxic", "doc_id", "n_first", "n_null", "n"]
+    state, key = State(), ("t", 2)
+    step = lambda *rows: [tuple(r) for f in filteraudit.update(key, iter([pd.DataFrame(rows, columns=names)]), state) for r in f.itertuples(index=False)]
+    assert step(("a", True, False, 7, 1, 0, 3)) == [("a", 2 + 16, True, False, 2), ("a", 2, True, False, 1)]
+    assert sorted(step(("b", False, False, 4, 1, 0, 1))) == [("a", 2, True, False, -1), ("a", 18, True, False, 1), ("b", 2, False, False, 1)]
+    assert step(("a", False, False, 9, 2, 0, 2)) == [("a", 18, False, False, 2)]
+    assert state.get[0] == 4
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DOC).write.parquet(str(tmp_path / "d.parquet"))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert filteraudit.audit(spark, str(tmp_path / "d.parquet"), labels).count() == 0
+
+
+def test_settings_are_put_back(spark):
+    name = next(iter(filteraudit.STORE))
+    before = spark.conf.get(name, None)
+    with filteraudit.settings(spark, filteraudit.STORE):
+        assert spark.conf.get(name) == filteraudit.STORE[name]
+    assert spark.conf.get(name, None) == before
