@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseflow.llm import bpe, chat, decontaminate, filteraudit, html, jaccard, langid, lattice, licences, quality, tokencount, topk
+from caseflow.llm import bpe, chat, decontaminate, divergence, filteraudit, html, jaccard, langid, lattice, licences, quality, tokencount, topk
 from caseflow.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
 
@@ -76,10 +80,59 @@ QUERIES = {
     for f in (
         op1_chat_formatting, op2_language_id, op3_lattice_likelihood, op4_licence_scan, op5_bpe,
         op6_exact_top_k, op7_jaccard_join, op8_html_extraction, op9_decontamination, op10_quality,
-        op11_token_counts, op13_filter_audit,
+        op11_token_counts, op12_source_divergence, op13_filter_audit,
     )
 }
 ORACLE: dict[str, str] = {
+    "op12_source_divergence": r"""
+        WITH docs AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), words AS (
+            SELECT lang, source, unnest(terms) AS term FROM docs
+        ), seen AS (
+            SELECT lang, unnest(list_distinct(terms)) AS term FROM docs
+        ), kept AS (
+            SELECT lang, term FROM seen GROUP BY ALL HAVING count(*) >= 3
+        ), sources AS (
+            SELECT DISTINCT lang, source FROM docs
+        ), counts AS (
+            SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL
+        ), grid AS (
+            SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n
+            FROM sources s JOIN kept k ON s.lang = k.lang
+            LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+        ), totals AS (
+            SELECT lang, source, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM grid GROUP BY ALL
+        ), p AS (
+            SELECT g.lang, g.source, g.term, g.n, 1 + (1000000000::HUGEINT * (g.n + 1)) // (t.total + t.v) AS p
+            FROM grid g JOIN totals t ON g.lang = t.lang AND g.source = t.source
+        ), whole AS (
+            SELECT lang, term, sum(n) AS n FROM grid GROUP BY ALL
+        ), whole_totals AS (
+            SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM whole GROUP BY ALL
+        ), q AS (
+            SELECT w.lang, w.term, 1 + (1000000000::HUGEINT * (w.n + 1)) // (t.total + t.v) AS q
+            FROM whole w JOIN whole_totals t ON w.lang = t.lang
+        ), both_ways AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), paired AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(w.value, 0) AS value
+            FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN both_ways w ON w.lang = a.lang AND w.source = a.source AND w.item = b.source
+        ), alone AS (
+            SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q) * (p - q) // q AS value
+            FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+            FROM (SELECT * FROM paired UNION ALL SELECT * FROM alone)
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
     "op13_filter_audit": r"""
         WITH texts AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
