@@ -36,9 +36,9 @@ def load(
     table, so a later filter on country skips row groups.
     """
     feeds = src.combine(
-        src.std_wide(src.read_csv_strings(spark, wide), source=tags[0]),
-        src.std_long(src.read_csv_strings(spark, long), source=tags[1]),
-        src.std_single(src.read_csv_strings(spark, single), country=single_country, source=tags[2]),
+        src.std_wide(src.read_csv_strings(spark, wide, escaped=False), source=tags[0]),
+        src.std_long(src.read_csv_strings(spark, long, escaped=False), source=tags[1]),
+        src.std_single(src.read_csv_strings(spark, single, escaped=False), country=single_country, source=tags[2]),
     )
     src.write_parquet(src.sort_cases(feeds), out)
 

@@ -31,10 +31,13 @@ def wide_to_long(
     """One row per id and value column, null cells kept.
 
     A map-side ``stack``: no shuffle, and for a thousand columns several times
-    faster than ``unpivot``. Values are cast to one type first because ``stack``
+    faster than ``unpivot``. Without value columns there are no rows. Values are cast to one type first because ``stack``
     takes only one; text that is no number becomes null.
     """
     found = {f.name: f.dataType for f in df.schema}
+    if not value_columns(df, ids):
+        none = {name: F.lit(None).cast("string"), value: F.lit(None).cast(value_type)}
+        return df.where(F.lit(False)).select(*[quoted(c) for c in ids], *[column.alias(c) for c, column in none.items()])
     cells = [f"{literal(c)}, {cast_sql(c, found[c], value_type)}" for c in value_columns(df, ids)]
     stacked = f"stack({len(cells)}, {', '.join(cells)}) AS ({quoted(name)}, {quoted(value)})"
     return df.selectExpr(*[quoted(c) for c in ids], stacked)

@@ -2,73 +2,195 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import csv
+import re
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
-from caseflow.functions.scalars import parse_date
+from caseflow.functions.scalars import parse_date, quoted
 from caseflow.schema import CANON, all_strings, enforce
+from caseflow.session import settings
 
 
 # -- CSV ----------------------------------------------------------------------
 
 NULL = r"\N"  # stands for null, so that empty text stays empty text
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # FIXED: the folder name Spark gives to null
 
 # Quotes are doubled, white space around values is kept.
 _DIALECT = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
+# One task per file, which reads one row.
+_WHOLE_FILES = {
+    "spark.sql.files.maxPartitionBytes": str(1 << 50),
+    "spark.sql.files.openCostInBytes": str(1 << 50),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1",
+}
+
+
+def csv_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """First line -> the files that begin with it, in order of their names.
+
+    A job with one task per file, which stops after the first line. Files without any
+    line are left out. File names and headers come to the driver, no data does.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    with settings(spark, _WHOLE_FILES):
+        lines = spark.read.text(path).select("value", "_metadata.file_path").mapInArrow(first, "value string, file_path string")
+        found = sorted((unquote(r.file_path), r.value) for r in lines.collect())
+    headers: dict[str, list[str]] = {}
+    for file, line in found:
+        headers.setdefault(line, []).append(re.sub(r"([\\\[\]{}*?])", r"\\\1", file))
+    return headers
+
+
+def _names(line: str) -> list[str]:
+    """Column names of a header; empty and repeated ones get their position."""
+    names = next(csv.reader([line.removeprefix("\ufeff")]), [])
+    seen = Counter(n.lower() for n in names)
+    return [f"_c{i}" if not n else f"{n}{i}" if seen[n.lower()] > 1 else n for i, n in enumerate(names)]
+
+
+def _load(reader: DataFrameReader, path: str, headers: Mapping[str, Sequence[str]], files: list[str]) -> DataFrame:
+    """The files with one header; as one folder if there is no other header."""
+    if len(headers) == 1:
+        return reader.csv(path)
+    if not re.search(r"[\[{*?]", path):
+        reader = reader.option("basePath", path)  # files of a folder keep its partition columns
+    return reader.csv(files)
+
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = CANON, *, null_value: str = NULL, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = CANON,
+    *,
+    null_value: str = NULL,
+    multi_line: bool = False,
+    escaped: bool | None = None,
 ) -> DataFrame:
-    """CSV with a header, brought to ``schema`` by the names in the header.
+    """CSV with a header, brought to ``schema`` by the names in the header of each file.
 
     Absent columns are null, others are left out, and values that do not fit are null
-    (see ``cast_sql``). ``schema=None`` infers types, at the price of one more pass.
-    Blank values and ``null_value`` are null, quoted empty ones are empty text; with
-    ``null_value=""`` both are null. ``multi_line`` reads values with line breaks;
-    files are then no longer split, so it is off by default.
+    (see ``cast_sql``). ``schema=None`` infers types, at the price of one more pass; a
+    column that files give different types is text. Blank values and ``null_value`` are
+    null, quoted empty ones are empty text; with ``null_value=""`` both are null.
+    ``multi_line`` reads values with line breaks; files are then no longer split, so it
+    is off by default. ``escaped`` is explained at :func:`write_csv`.
     """
     if schema:
-        return enforce(read_csv_strings(spark, path, null_value=null_value, multi_line=multi_line), schema)
-    return spark.read.options(**_DIALECT, nullValue=null_value, multiLine=multi_line, inferSchema=True).csv(path)
+        return enforce(read_csv_strings(spark, path, schema, null_value=null_value, multi_line=multi_line, escaped=escaped), schema)
+    reader = spark.read.options(**_DIALECT, nullValue=null_value, multiLine=multi_line, inferSchema=True)
+    types: dict[str, set] = {}
+    headers = csv_headers(spark, path)
+    for files in headers.values():
+        for field in _load(reader, path, headers, files).schema:
+            types.setdefault(field.name, set()).add(field.dataType)
+    inferred = T.StructType([T.StructField(n, t.pop() if len(t) == 1 else T.StringType()) for n, t in types.items()])
+    return read_csv(spark, path, inferred, null_value=null_value, multi_line=multi_line, escaped=escaped) if types else reader.csv(path)
 
 
 def read_csv_strings(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, *, null_value: str = NULL, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    *,
+    null_value: str = NULL,
+    multi_line: bool = False,
+    escaped: bool | None = None,
 ) -> DataFrame:
     """CSV with a header, every column text; cast later with ``schema.enforce``.
 
-    Columns are those of the header, or those that ``schema`` names, found by name.
+    A folder's files may have different headers: those with the same first line are read
+    together, and what they give is appended by column name. Columns are those of all
+    headers and the folder's partition columns, or those that ``schema`` names.
     """
-    found = spark.read.options(**_DIALECT, nullValue=null_value, multiLine=multi_line).csv(path)
-    # a folder's partition columns may come back as numbers
+    headers = csv_headers(spark, path)
+    parts = []
+    for line, files in headers.items():
+        names = _names(line)
+        reader = spark.read.options(**_DIALECT, nullValue=null_value, multiLine=multi_line)
+        # the value of a partition column is the text in the folder's name
+        with settings(spark, {"spark.sql.sources.partitionColumnTypeInference.enabled": "false"}):
+            part = _load(reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])), path, headers, files)
+        wanted = [c for c in part.columns if schema is None or c in schema.fieldNames()]
+        # partition columns are escaped by their own rule, see write_csv
+        undo = {c: _plain_cell(c) if c in names else _plain_folder(c) for c in wanted}
+        if null_value != NULL if escaped is None else not escaped:
+            undo |= {c: quoted(c) for c in wanted if c in names}
+        parts.append(part.selectExpr(*[f"{sql} AS {quoted(c)}" for c, sql in undo.items()]))
+    if not parts:
+        parts = [spark.createDataFrame([], all_strings(schema or T.StructType([])))]
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return enforce(found, all_strings(schema or found.schema))
 
 
 def write_csv(
-    df: DataFrame, path: str, *, partition_by: Sequence[str] = (), files: int | None = None, null_value: str = NULL
+    df: DataFrame,
+    path: str,
+    *,
+    partition_by: Sequence[str] = (),
+    files: int | None = None,
+    order_by: Sequence[str] = (),
+    null_value: str = NULL,
+    escaped: bool | None = None,
 ) -> None:
     """CSV with a header, replacing what is there.
 
-    Null is written as ``null_value``, empty text as ``""``. Text equal to
-    ``null_value`` cannot be told from null when read. With ``null_value='""'``, as the
-    reports have it, empty text is read back as null by ``null_value=""``. Values with
-    line breaks are quoted and need ``multi_line`` when read, and so does white space
-    alone in a file of one column, whose line passes for a blank one.
-
-    With ``partition_by`` the rows are first rebalanced on those columns: a value
-    gets few files, and a value holding much of the data is split over several tasks
-    instead of flowing through one. ``files`` caps the file count and suits small
-    reports only, since it also caps the tasks that write.
+    Null is written as ``null_value``, empty text as ``""``. Text that could be taken for
+    the marker ``\\N``, with any number of backslashes before it, gets one more, which the
+    readers take away: every text comes back. ``escaped=False`` does without, on either
+    side, and is the rule where ``null_value`` is another: with ``'""'``, as the reports
+    have it, empty text is read back as null by ``null_value=""``. Values with line breaks
+    are quoted and need ``multi_line`` when read, and so does white space alone in a file
+    of one column, whose line passes for a blank one.
+
+    With ``partition_by`` the rows are first rebalanced on those columns: a value gets few
+    files, and a value holding much of the data is split over several tasks instead of
+    flowing through one. In the folders' names null is Spark's, and text that is empty,
+    that name, or begins with a backslash has a backslash before it; it is read as text,
+    so ``007`` stays so. ``files`` writes so many files, each in the order of ``order_by``
+    if given, and suits small reports only; the tasks that compute the rows are not capped.
     """
+    texts = [f.name for f in df.schema if f.dataType == T.StringType()]
+    if (null_value == NULL) if escaped is None else escaped:
+        df = df.withColumns({c: F.expr(_safe_cell(c)) for c in texts if c not in partition_by})
+    df = df.withColumns({c: F.expr(_safe_folder(c)) for c in texts if c in partition_by})
     if partition_by:
         df = df.hint("rebalance", *partition_by)
     elif files:
-        df = df.coalesce(files)
+        df = df.repartition(files)
+        df = df.sortWithinPartitions(*order_by) if order_by else df
     df.write.mode("overwrite").options(**_DIALECT, nullValue=null_value).partitionBy(*partition_by).csv(path)
 
 
+def _safe_cell(name: str) -> str:
+    return rf"CASE WHEN {quoted(name)} RLIKE '^\\\\+N$' THEN concat('\\', {quoted(name)}) ELSE {quoted(name)} END"
+
+
+def _plain_cell(name: str) -> str:
+    return rf"CASE WHEN {quoted(name)} RLIKE '^\\\\{{2,}}N$' THEN substring({quoted(name)}, 2) ELSE {quoted(name)} END"
+
+
+def _safe_folder(name: str) -> str:
+    return rf"CASE WHEN {quoted(name)} IN ('', '{_NO_VALUE}') OR startswith({quoted(name)}, '\\') THEN concat('\\', {quoted(name)}) ELSE {quoted(name)} END"
+
+
+def _plain_folder(name: str) -> str:
+    return rf"CASE WHEN startswith({quoted(name)}, '\\') THEN substring({quoted(name)}, 2) ELSE {quoted(name)} END"
+
+
 # -- Parquet ------------------------------------------------------------------
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType = CANON) -> DataFrame:

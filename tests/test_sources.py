@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from pathlib import Path
 
 import pytest
@@ -129,6 +130,79 @@ def test_csv_keeps_text_and_finds_columns_by_name(spark, tmp_path):
     assert ordered(rows(src.read_csv_strings(spark, path, multi_line=True))) == ordered(rows(one))
 
 
+def test_csv_files_with_different_headers_go_by_name(spark, tmp_path):
+    folder = tmp_path / "mixed [1] {x}"
+    folder.mkdir()
+    (folder / "a.csv").write_text("date,country,state,confirmed,deaths\n2021-01-01,A,x,5,1\n")
+    (folder / "b é%20.csv").write_text("country,date,state,deaths,confirmed,more\nB,2021-01-02,y,7,9,m\n")
+    (folder / "c.csv").write_text("date,country,state,confirmed,deaths\n2021-01-03,C,z,6,2\n")
+    (folder / "d.csv").write_text("")
+    (folder / "e.csv").write_text("country,country,\nE,F,G\n")
+    path = re.sub(r"([\[\]{}])", r"\\\1", str(folder))  # a path is a pattern
+    assert ordered(rows(src.read_csv(spark, path), "date", "country", "confirmed", "deaths")) == ordered(
+        [(day(1), "A", 5, 1.0), (day(2), "B", 9, 7.0), (day(3), "C", 6, 2.0), (None, None, None, None)])
+    texts = src.read_csv_strings(spark, path)
+    assert set(texts.columns) == {"date", "country", "state", "confirmed", "deaths", "more", "country0", "country1", "_c2"}
+    assert rows(texts.where("country0 = 'E'"), "country1", "_c2", "date") == [("F", "G", None)]
+    inferred = dict(src.read_csv(spark, path, None).dtypes)
+    assert (inferred["confirmed"], inferred["date"], inferred["more"]) == ("int", "date", "string")
+    headers = src.csv_headers(spark, path)
+    assert sorted(map(len, headers.values())) == [1, 1, 2]
+
+
+def test_csv_folders_with_partitions_and_different_headers(spark, tmp_path):
+    for k, header, line in (("A", "x,y", "1,2"), ("B", "y,x", "4,3")):
+        (tmp_path / "p" / f"k={k}").mkdir(parents=True)
+        (tmp_path / "p" / f"k={k}" / "f.csv").write_text(f"{header}\n{line}\n")
+    assert ordered(rows(src.read_csv_strings(spark, str(tmp_path / "p")), "k", "x", "y")) == [("A", "1", "2"), ("B", "3", "4")]
+
+
+def test_csv_without_files_or_rows(spark, tmp_path):
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "head.csv").write_text("country,confirmed\n")
+    assert src.read_csv(spark, str(tmp_path / "none.csv")).columns == CANON_NAMES
+    assert src.read_csv(spark, str(tmp_path / "none.csv")).count() == src.read_csv(spark, str(tmp_path / "head.csv")).count() == 0
+
+
+def test_header_job_reads_one_row_of_each_file(spark, tmp_path):
+    spark.range(200_000).select(F.col("id").cast("string").alias("a"), F.lit("x" * 50).alias("b")).repartition(3).write.option("header", True).csv(str(tmp_path / "big"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert {h: len(f) for h, f in src.csv_headers(spark, str(tmp_path / "big")).items()} == {"a,b": 3}
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+def test_csv_keeps_text_that_looks_like_the_null_marker(spark, tmp_path):
+    texts = [(k, t) for k, t in enumerate(["\\N", "\\\\N", "\\\\\\N", "N", "\\", "\\n", "a\\N", "\\N b", "", None])]
+    df = spark.createDataFrame(texts, "k int, t string")
+    src.write_csv(df, str(tmp_path / "t"))
+    assert ordered(rows(src.read_csv(spark, str(tmp_path / "t"), df.schema))) == ordered(texts)
+    src.write_csv(df.where("k = 1"), str(tmp_path / "plain"), escaped=False)
+    assert rows(src.read_csv(spark, str(tmp_path / "plain"), df.schema, escaped=False)) == [(1, "\\\\N")]
+
+
+def test_partition_values_come_back_as_written(spark, tmp_path):
+    values = ["007", "1.0", "", None, "\\", "\\\\x", "__HIVE_DEFAULT_PARTITION__", "a/b=c%20", " x ", "true", "2021-01-01", "é", "\\N", "[z]{y}*"]
+    df = spark.createDataFrame([(v, k) for k, v in enumerate(values)], "v string, k int")
+    src.write_csv(df, str(tmp_path / "v"), partition_by=["v"])
+    assert ordered(rows(src.read_csv(spark, str(tmp_path / "v"), df.schema))) == ordered(rows(df))
+    assert {f.name: f.dataType.simpleString() for f in src.read_csv_strings(spark, str(tmp_path / "v")).schema} == {"v": "string", "k": "string"}
+    dated = spark.createDataFrame([(day(1), 1.5), (None, 2.0)], "date date, x double")
+    src.write_csv(dated, str(tmp_path / "d"), partition_by=["date"])
+    assert ordered(rows(src.read_csv(spark, str(tmp_path / "d"), dated.schema))) == ordered(rows(dated))
+
+
+def test_a_capped_csv_is_computed_by_all_tasks(spark, tmp_path):
+    df = spark.range(0, 1000, 1, 6).select("id", (F.spark_partition_id()).alias("task"))
+    src.write_csv(df, str(tmp_path / "one"), files=1, order_by=["id"])
+    lines = next((tmp_path / "one").glob("part-*")).read_text().split()[1:]
+    assert [int(x.split(",")[0]) for x in lines] == list(range(1000)) and len({x.split(",")[1] for x in lines}) == 6
+
+
+def test_wide_feed_without_dates(spark):
+    df = spark.createDataFrame([("x", "A", 1.0, 2.0)], "`Province/State` string, `Country/Region` string, Lat double, Long double")
+    assert src.std_wide(df, source="W").columns == CANON_NAMES and src.std_wide(df, source="W").count() == 0
+
+
 def test_numbers_are_never_cut(spark, tmp_path):
     (tmp_path / "n.csv").write_text("country,date,confirmed,more\nA,2021-01-01,5.0,x\nB,x,5.7,x\nC,,9007199254740993.0,x\nD,,1e30,x\nE,,,x\n")
     out = rows(src.read_csv(spark, str(tmp_path / "n.csv")), "country", "confirmed")
