@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caseflow.functions.scalars import or_zero, with_thousands
+from caseflow.sources.scratch import stage
 
 
 def _sum_or_zero(column: str) -> Column:
@@ -53,10 +55,17 @@ def latest_nonnull(
 ) -> DataFrame:
     """Each column's last non-null value per key; one row may so mix dates.
 
-    "Last" is by date, state (null before any), source and the value itself. It is
-    a maximum over (order, value), so map tasks send one candidate per key and
-    column, and no key's rows are gathered or sorted by date.
+    "Last" is by date, state (null before any), source and the value itself. First the
+    last date of every key and column is found, by a hash aggregate over dates alone, in
+    a job of its own. Joined back, it leaves the rows of those dates; the maximum over
+    (order, value), which has to sort what it groups, sees only these.
     """
+    day = {c: f"_day_{n}" for n, c in enumerate(columns)}
+    last_days = stage(df.groupBy(*keys).agg(*[F.max(F.when(F.col(c).isNotNull(), F.col("date"))).alias(d) for c, d in day.items()]))
+    last_days = last_days.withColumnsRenamed({k: f"_key_{n}" for n, k in enumerate(keys)})
+    same_key = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key_{n}")) for n, k in enumerate(keys)])
+    on_last_day = reduce(Column.__or__, [F.col(c).isNotNull() & F.col("date").eqNullSafe(F.col(d)) for c, d in day.items()])
+    rows = df.join(last_days, same_key).where(on_last_day)
 
     def last(name: str) -> Column:
         candidate = F.struct(
@@ -67,7 +76,11 @@ def latest_nonnull(
         )
         return F.max(F.when(F.col(name).isNotNull(), candidate))["value"].alias(name)
 
-    return df.groupBy(*keys).agg(*[last(c) for c in columns])
+    # a key without any value in the columns still has its row
+    found = rows.groupBy(*keys).agg(*[last(c) for c in columns]).withColumnsRenamed({k: f"_found_{n}" for n, k in enumerate(keys)})
+    same = reduce(Column.__and__, [F.col(f"_key_{n}").eqNullSafe(F.col(f"_found_{n}")) for n in range(len(keys))])
+    named = [F.col(f"_key_{n}").alias(k) for n, k in enumerate(keys)]
+    return last_days.join(found, same, "left").select(*named, *columns)
 
 
 def latest_by_year(df: DataFrame, **options) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from caseflow.functions.scalars import cast_sql, literal, parse_date, quoted, tie_break
 from caseflow.schema import CANON, CANON_NAMES, enforce
@@ -71,18 +71,26 @@ def std_wide_measures(
 ) -> DataFrame:
     """Three wide files of one layout, one per measure, as one canonical table.
 
-    In effect a full outer join on place and date. It is done by appending and
-    grouping, so null states match, and rows combine before the shuffle.
+    A full outer join on place and date, done by appending and grouping, so that null
+    states match. Dates are parsed first: ``01/22/20`` meets ``1/22/20``. Where a file
+    repeats a place and date, its rows are numbered by value, null last, and the first
+    meets the other files' first: no row is lost. One shuffle, by place and date.
     """
     files = {"confirmed": confirmed, "deaths": deaths, "recovered": recovered}
-    parts = [wide_to_long(df, value=name, value_type=CANON[name].dataType) for name, df in files.items()]
     ids = ["Province/State", "Country/Region", "date"]
-    cells = combine(*parts).groupBy(*ids).agg(*[F.max(name).alias(name) for name in files])
+    parts = [
+        wide_to_long(df, value=name, value_type=CANON[name].dataType)
+        .select(*ids, name, F.lit(name).alias("_file"))
+        .withColumn("date", parse_date(F.col("date"), date_pattern))
+        for name, df in files.items()
+    ]
+    numbered = Window.partitionBy(*ids, "_file").orderBy(F.coalesce(*[F.col(f).cast("double") for f in files]).asc_nulls_last())
+    cells = combine(*parts).repartition(*ids).withColumn("_n", F.row_number().over(numbered))
     return standardise(
-        cells,
+        cells.groupBy(*ids, "_n").agg(*[F.max(name).alias(name) for name in files]),
         renames={"Country/Region": "country", "Province/State": "state"},
         constants={"source": source},
-        date=parse_date(F.col("date"), date_pattern),
+        date=F.col("date"),
     )
 
 
@@ -113,13 +121,13 @@ def sort_cases(df: DataFrame, *, nulls: str = "first") -> DataFrame:
     """By country, state and date, then by the rest so that the order is total.
 
     The further columns also let the range shuffle cut inside a country that holds
-    much of the data.
+    much of the data, and the place a row was read from, as the last of them, lets it
+    cut inside the copies of one row.
     """
     rest = [c for c in CANON_NAMES if c not in ("country", "state", "date")]
     names = ["country", "state", "date", "source", *[c for c in rest if c != "source"]]
-    if nulls == "last":
-        return df.orderBy(*[F.col(c).asc_nulls_last() for c in names])
-    return df.orderBy(*tie_break(*names))
+    order = [F.col(c).asc_nulls_last() for c in names] if nulls == "last" else tie_break(*names)
+    return df.withColumn("_read", F.monotonically_increasing_id()).orderBy(*order, "_read").drop("_read")
 
 
 def preview(df: DataFrame, rows: int = 20, *, nulls: str = "first") -> DataFrame:

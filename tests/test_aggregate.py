@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseflow import operators as op
+from caseflow.schema import CANON
 
 from conftest import day, ordered, plan, rows
 
@@ -25,9 +26,25 @@ def test_latest_breaks_ties_by_state_then_source_then_value(make):
         assert rows(op.latest_nonnull(shape), "confirmed") == [(8,)]
 
 
-def test_latest_combines_before_the_shuffle(make):
-    text = plan(op.latest_nonnull(make((1, "A", None, 5, None, "Z"))))
-    assert "partial_max" in text and "Window" not in text and text.count("Exchange") == 1
+def test_latest_does_not_sort_the_raw_rows(make, spark, tmp_path):
+    make(*[(d, c, None, d, None, "L") for d in range(1, 20) for c in "AB"]).write.parquet(str(tmp_path / "cases"))
+    out = op.latest_nonnull(spark.read.parquet(str(tmp_path / "cases")))
+    out.collect()
+    text = plan(out)
+    raw = next(line for line in text.splitlines() if "FileScan" in line and "confirmed" in line)
+    above = text[: text.index(raw)].splitlines()
+    # between the scan and the first sort or shuffle, the last dates have been joined and the other rows left
+    below_sort = above[max(i for i, line in enumerate(above) if "Sort" in line) :]
+    assert any("BroadcastHashJoin" in line for line in below_sort) and "Window [" not in text
+
+
+def test_latest_without_dates_or_values(spark):
+    data = [(None, "A", "x", 5, None, None, "L"), (None, "A", "y", 4, None, None, "L"), (day(2), "B", None, None, None, None, None),
+            (None, "B", None, 3, None, None, "L"), (None, None, None, 7, 1.0, None, "L"), (day(3), None, None, None, 2.0, None, "L"),
+            (None, "C", None, None, None, None, None)]
+    df = spark.createDataFrame(data, CANON)
+    assert ordered(rows(op.latest_nonnull(df, columns=("date", "state", "confirmed", "deaths")))) == ordered(
+        [("A", None, "y", 4, None), ("B", day(2), None, 3, None), (None, day(3), None, 7, 2.0), ("C", None, None, None, None)])
 
 
 def test_sums_of_nothing_are_zero(make):

@@ -111,11 +111,23 @@ def test_copies_are_spread_over_tasks(make):
     assert len(exchanges) == 3 and "_salt" in exchanges[-1]
 
 
-def test_both_lags_share_a_window_and_the_key_is_split_by_day(make):
-    text = plan(op.lag_prev(make((1, "A", None, 1, 1, "L"))))
-    assert text.count("Window [") <= 2 and text.count("Exchange hashpartitioning") == 2
-    first = [line for line in text.splitlines() if "Exchange hashpartitioning" in line][-1]
-    assert "date" in first and "country" in first and "state" in first
+def test_one_shuffle_carries_the_rows_and_the_key_is_split_by_day(make):
+    df = make((1, "A", None, 1, 1, "L")).withColumn("note", F.lit("x").cast("string"))
+    out = op.lag_prev(df.withColumn("note", F.concat("country", F.lit("!"))))
+    text = plan(out)
+    assert text.count("Window [") <= 2
+    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    # the rows by key and day; the last row of each day, combined before it moves; the days by key
+    assert len(exchanges) == 3 and "partial_max" in text
+    assert "date" in exchanges[0] and "country" in exchanges[0] and "state" in exchanges[0]
+    assert text.count("concat(") == 1  # whatever else a row has is in one branch alone
+
+
+def test_lag_of_the_ordering_column_itself(spark):
+    df = spark.createDataFrame([("A", 1, 1), ("A", 1, 2), ("A", 3, 1), ("B", 2, 1), ("A", None, 9)], "k string, d int, e int")
+    out = previous_values(df, {"pd": "d", "pe": "e", "pk": "k"}, keys=["k"], order_by=["d", "e"], pieces=[["d"]])
+    assert ordered(rows(out)) == ordered([
+        ("A", None, 9, None, None, None), ("A", 1, 1, None, 9, "A"), ("A", 1, 2, 1, 1, "A"), ("A", 3, 1, 1, 2, "A"), ("B", 2, 1, None, None, None)])
 
 
 def test_a_country_filter_passes_below_the_windows(make, spark, tmp_path):

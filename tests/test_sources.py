@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from caseflow import sources as src
+from caseflow import session, sources as src
 from caseflow.functions import parse_date
 from caseflow.schema import CANON, CANON_NAMES, enforce
 
@@ -83,6 +83,38 @@ def test_sort_places_nulls_as_asked(sample):
     assert states("first") == [None, None, 'x, "y"'] and states("last") == ['x, "y"', None, None]
 
 
+def test_copies_of_one_row_are_sorted_by_several_tasks(spark, make):
+    df = make((1, "B", None, 1, None, "L")).join(spark.range(0, 200_000, 1, 8).select(F.lit("B").alias("country")), "country")
+    df = src.combine(df, make((1, "A", None, 1, None, "L"), (2, "C", None, 1, None, "L")))
+    with session.settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        tasks = {r.t: (r.n, r.lo, r.hi) for r in src.sort_cases(df).groupBy(F.spark_partition_id().alias("t"))
+                 .agg(F.count("*").alias("n"), F.min("country").alias("lo"), F.max("country").alias("hi")).collect()}
+    assert sum(n for n, _, _ in tasks.values()) == 200_002 and max(n for n, _, _ in tasks.values()) < 120_000
+    spans = [tasks[t][1:] for t in sorted(tasks)]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def wide_of(spark, *cells, dates=("1/22/20", "1/23/20")):
+    columns = ", ".join(f"`{d}` string" for d in dates)
+    return spark.createDataFrame([(s, c, 0.0, 0.0, *v) for s, c, *v in cells], f"`Province/State` string, `Country/Region` string, Lat double, Long double, {columns}")
+
+
+def test_three_wide_files_lose_no_row(spark):
+    out = src.std_wide_measures(
+        confirmed=wide_of(spark, ("x", "A", "5", "7"), ("x", "A", "1", None), (None, "B", "2", "3")),
+        deaths=wide_of(spark, ("x", "A", "2", "4"), dates=("01/22/20", "1/24/20")),
+        recovered=wide_of(spark, (None, "B", "9", None), ("y", "C", None, "8")),
+        source="W",
+    )
+    d = lambda n: dt.date(2020, 1, n)
+    assert out.columns == CANON_NAMES
+    assert ordered(rows(out)) == ordered([
+        (d(22), "A", "x", 1, 2.0, None, "W"), (d(22), "A", "x", 5, None, None, "W"), (d(23), "A", "x", 7, None, None, "W"),
+        (d(23), "A", "x", None, None, None, "W"), (d(24), "A", "x", None, 4.0, None, "W"), (d(22), "B", None, 2, None, 9.0, "W"),
+        (d(23), "B", None, 3, None, None, "W"), (d(22), "C", "y", None, None, None, "W"), (d(23), "C", "y", None, None, 8.0, "W")])
+    assert plan(out).count("Exchange hashpartitioning") == 1
+
+
 def test_preview_is_a_top_k(sample):
     head = src.preview(sample, 2)
     assert "TakeOrderedAndProject" in plan(head)

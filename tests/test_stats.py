@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from caseflow import operators as op
+from caseflow.operators import stats
 from caseflow.operators.stats import QUARTILES, frequencies
 
 from conftest import ordered, plan, rows
@@ -58,8 +60,56 @@ def test_integer_values(spark):
 
 
 def test_frequencies_are_counted_once(df):
-    out = op.box_stats(df.groupBy("country", "v").count().select("country", "v"), value="v")
+    counted = df.groupBy("country", "v").count().select("country", "v")
+    out = op.box_stats(counted, value="v")
     out.collect()
     final = plan(out)
     assert "percentile" not in final and "collect_list" not in final
-    assert final.count("ReusedExchange") >= 1
+    # they are stored, and every use reads the store
+    assert "ExistingRDD" in plan(counted) and "ExistingRDD" not in final and "FileScan" in final
+
+
+def test_nan_is_the_greatest_value(spark):
+    nan, inf = float("nan"), float("inf")
+    rows_ = [("A", v) for v in (1.0, 2.0, -3.0, nan, 5.0)] + [("B", v) for v in (nan, nan, 1.0)] + [("C", v) for v in (-inf, inf, inf, 0.0, -0.0)]
+    df = spark.createDataFrame(rows_, "country string, v double")
+    out = op.exact_quantiles(frequencies(df, key="country", value="v"), key="country", value="v", probs=QUARTILES)
+    found = {r.country: tuple(map(str, r[1:])) for r in out.collect()}
+    builtin = {r.country: tuple(map(str, r.p)) for r in df.groupBy("country").agg(F.percentile("v", list(QUARTILES.values())).alias("p")).collect()}
+    assert found["A"] == ("1.0", "2.0", "5.0") == builtin["A"]
+    assert found["B"] == ("nan", "nan", "nan") == builtin["B"] and found["C"] == ("0.0", "0.0", "inf")
+    boxes = {r.country: r for r in op.box_stats(df, value="v").collect()}
+    assert (boxes["A"].q1, boxes["A"].median, boxes["A"].q3, boxes["A"].n_rows, boxes["A"].n_outliers) == (1.0, 2.0, 5.0, 5, 1)
+
+
+def pieces_of(monkeypatch):
+    """The tables that the search stores, level by level."""
+    kept, real = [], stats.stage
+    monkeypatch.setattr(stats, "stage", lambda df: kept.append(real(df)) or kept[-1])
+    return kept
+
+
+@pytest.mark.parametrize("kind", ["double", "bigint"])
+def test_a_band_of_many_values_is_cut_until_it_is_small(spark, monkeypatch, kind):
+    values = {
+        "near": [10**9 + i for i in range(5000)],
+        "far": [2**62 + i * 3 for i in range(3000)] if kind == "bigint" else [1e18 + i * 256.0 for i in range(3000)],
+        "clustered": [10**9 + (i if i < 4000 else i * 100) for i in range(4500)],
+        "negative": [-(10**6) - i for i in range(2000)],
+        "ties": [10**9 + i // 50 for i in range(5000)],
+    }
+    df = spark.createDataFrame([(k, int(v) if kind == "bigint" else float(v)) for k, vs in values.items() for v in vs], f"country string, v {kind}")
+    kept = pieces_of(monkeypatch)
+    out = op.exact_quantiles(frequencies(df, key="country", value="v"), key="country", value="v", probs=QUARTILES, piece=40)
+    found = {r.country: tuple(r[1:]) for r in out.collect()}
+    for name, vs in values.items():
+        assert found[name] == pytest.approx(tuple(np.quantile(np.array(vs, dtype=np.longdouble), [0.25, 0.5, 0.75]).astype(float)), rel=1e-15)
+    assert len(kept) > 1 and kept[-1].agg(F.max("distinct")).first()[0] <= 40
+
+
+def test_a_million_values_of_one_size(spark, monkeypatch):
+    df = spark.range(1_000_000).select(F.lit("A").alias("country"), (F.col("id") * 7 % 1_000_000 + 10**12).alias("v"))
+    kept = pieces_of(monkeypatch)
+    box = op.box_stats(df, value="v").first()
+    assert (box.q1, box.median, box.q3, box.n_rows, box.n_outliers) == (10**12 + 249999.75, 10**12 + 499999.5, 10**12 + 749999.25, 10**6, 0)
+    assert kept[-1].agg(F.max("distinct")).first()[0] <= stats.PIECE
