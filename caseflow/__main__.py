@@ -24,17 +24,21 @@ def _arguments() -> argparse.ArgumentParser:
 
     load = command("load", "wide", "long", "single", "single-country", "out")
     load.add_argument("--tags", nargs=3, default=["WIDE", "LONG", "SINGLE"])
+    load.add_argument("--wide-deaths", help="wide file of deaths")
+    load.add_argument("--wide-recovered", help="wide file of recoveries")
     offload = command("offload", "cases", "format")
     offload.add_argument("--option", action="append", default=[], help="key=value")
     export = command("export", "cases", "out")
     export.add_argument("--max-files", type=int)
     compact = command("compact", "source", "target")
     compact.add_argument("--max-files", type=int)
-    for name in ("enrich", "reports"):
+    for name in ("enrich", "reports", "explore"):
         sub = command(name, "out")
         sub.add_argument("--cases", help="Parquet folder")
         sub.add_argument("--format", help="read a document collection instead")
         sub.add_argument("--option", action="append", default=[], help="key=value")
+        if name == "reports":
+            sub.add_argument("--exclude", help="CSV of names to leave out of the cumulative reports")
     command("dashboard", "enriched", "names", "out")
     return parser
 
@@ -49,6 +53,12 @@ def _cases(spark: SparkSession, args: argparse.Namespace):
     return src.read_parquet(spark, args.cases, CANON)
 
 
+def _names(spark: SparkSession, path: str):
+    """A table of names; the first column is the one that counts."""
+    table = src.read_csv_strings(spark, path, escaped=False)
+    return table.select(table[0].alias("name"))
+
+
 def main(argv: list[str] | None = None) -> None:
     args = _arguments().parse_args(argv)
     spark = configure(SparkSession.builder.appName(f"caseflow {args.job}")).getOrCreate()
@@ -56,6 +66,7 @@ def main(argv: list[str] | None = None) -> None:
         jobs.load(
             spark, wide=args.wide, long=args.long, single=args.single,
             single_country=args.single_country, out=args.out, tags=tuple(args.tags),
+            wide_deaths=args.wide_deaths, wide_recovered=args.wide_recovered,
         )
     elif args.job == "offload":
         jobs.offload(spark, cases=args.cases, fmt=args.format, options=_options(args))
@@ -66,10 +77,11 @@ def main(argv: list[str] | None = None) -> None:
     elif args.job == "enrich":
         jobs.enrich(_cases(spark, args), out=args.out)
     elif args.job == "reports":
-        jobs.reports(_cases(spark, args), out=args.out)
+        jobs.reports(_cases(spark, args), out=args.out, exclude=_names(spark, args.exclude) if args.exclude else None)
+    elif args.job == "explore":
+        jobs.explore(_cases(spark, args), out=args.out)
     elif args.job == "dashboard":
-        names = spark.read.schema("name string").option("header", True).csv(args.names)
-        jobs.dashboard(src.read_parquet(spark, args.enriched, ENRICHED), names, out=args.out)
+        jobs.dashboard(src.read_parquet(spark, args.enriched, ENRICHED), _names(spark, args.names), out=args.out)
 
 
 if __name__ == "__main__":

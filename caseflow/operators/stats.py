@@ -152,8 +152,11 @@ def box_outliers(
     key: str = "country",
     value: str = "daily_new_cases",
     columns: Sequence[str] | None = None,
+    boxes: DataFrame | None = None,
 ) -> DataFrame:
-    """The rows beyond the fences of their key."""
-    fences = box_fences(df, key=key, value=value).select(key, "lower_fence", "upper_fence")
+    """The rows beyond the fences of their key. ``boxes``, from ``box_stats`` or
+    ``box_fences`` over the same rows, spares finding the fences anew."""
+    found = box_fences(df, key=key, value=value) if boxes is None else boxes
+    fences = found.select(key, "lower_fence", "upper_fence")
     outside = (F.col(value) < F.col("lower_fence")) | (F.col(value) > F.col("upper_fence"))
     return df.join(fences, key).where(outside).select(*(columns or df.columns))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from caseflow import operators as op, sources as src
 from caseflow.plans import fixtures
-from caseflow.schema import CANON, enforce
+from caseflow.functions import previous_values
+from caseflow.schema import CANON, PLACE, enforce
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,6 +90,39 @@ def sink_partitioned_csv(spark, d):
     return src.read_csv(spark, path, daily.schema).select(daily.columns)
 
 
+_TEXTS = {"documents": ("doc_id", "lang"), "conversations": ("conv_id", "role")}
+_TEXT_SCHEMA = "id bigint, turn bigint, kind string, text string"
+
+
+def _texts(spark, d, name: str) -> DataFrame:
+    ident, kind = _TEXTS[name]
+    table = spark.read.parquet(f"{d}/{name}.parquet")
+    turn = F.col("turn") if "turn" in table.columns else F.lit(None).cast("bigint")
+    return table.select(F.col(ident).alias("id"), turn.alias("turn"), F.col(kind).alias("kind"), "text")
+
+
+def _texts_again(spark, d, write, read) -> DataFrame:
+    """All long texts, whatever is in them, written and read back, with where they came from."""
+    found = []
+    for name in _TEXTS:
+        path = src.scratch_dir(spark)
+        write(_texts(spark, d, name), path)
+        found.append(read(path).select(F.lit(name).alias("origin"), "*"))
+    return src.combine(*found)
+
+
+@query
+def csv_text_roundtrip(spark, d):
+    schema = T.StructType.fromDDL(_TEXT_SCHEMA)
+    return _texts_again(spark, d, src.write_csv, lambda path: src.read_csv(spark, path, schema, multi_line=True))
+
+
+@query
+def json_text_roundtrip(spark, d):
+    schema = T.StructType.fromDDL(_TEXT_SCHEMA)
+    return _texts_again(spark, d, src.write_jsonl, lambda path: src.read_jsonl(spark, path, schema))
+
+
 # -- reshape, standardise, combine ------------------------------------------------
 
 @query
@@ -371,6 +405,42 @@ def state_trend(spark, d):
     return _rounded(op.cumulative_anomaly(with_state, keys=("state",)), "roll_mean")
 
 
+@query
+def place_trend(spark, d):
+    with_state = fixtures.cases(spark, d).where(F.col("state").isNotNull())
+    return _rounded(op.cumulative_anomaly(with_state, keys=PLACE), "roll_mean")
+
+
 @query
 def subnational_gap(spark, d):
     return op.subnational_gap(fixtures.cases(spark, d), national_source="LONG")
+
+
+# -- the same operators over raw rows, a few keys holding all of them -----------------------------
+
+@query
+def events_lag(spark, d):
+    lagged = previous_values(
+        fixtures.event_rows(spark, d),
+        {"prev_value": "value", "prev_id": "event_id"},
+        keys=["country"],
+        order_by=["date", "ts", "event_id"],
+    )
+    return lagged.select("event_id", "country", "value", "prev_value", "prev_id")
+
+
+@query
+def events_latest(spark, d):
+    return op.latest_nonnull(fixtures.event_rows(spark, d), columns=("date", "state", "value", "source"))
+
+
+@query
+def events_box(spark, d):
+    boxes = op.box_stats(fixtures.event_rows(spark, d), value="value")
+    return _rounded(boxes, "q1", "median", "q3", "lower_fence", "upper_fence")
+
+
+@query
+def events_growth(spark, d):
+    grown = op.growth_rate(fixtures.event_rows(spark, d), value="value")
+    return _rounded(grown.select(*_kept("value", "growth_rate", "growth_pct")), "growth_rate", "growth_pct")

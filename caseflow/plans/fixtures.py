@@ -142,3 +142,19 @@ def as_single_feed(staged: DataFrame) -> DataFrame:
     return staged.where(F.col("source") == "SINGLE").select(
         F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("confirmed").alias("cases"), "deaths"
     )
+
+
+# -- raw rows, not counts: as many as there are events ---------------------------
+
+def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as observations of five busy places: a day, a place (the type), a part of it
+    (the user), a value and a source."""
+    return read_table(spark, sf_dir, "events").select(
+        F.to_date("ts").alias("date"),
+        F.col("event_type").alias("country"),
+        F.col("user_id").cast("string").alias("state"),
+        "ts",
+        "event_id",
+        "value",
+        F.col("props").alias("source"),
+    )

@@ -103,6 +103,15 @@ _INCREMENTS = (
 _COLUMNS = ("date", "country", "state", "confirmed", "deaths", "recovered", "source")
 _TYPED = "replace(lower(typeof(any_value({c}))), 'varchar', 'string')"
 
+_TEXTS = """
+    SELECT 'documents' AS origin, doc_id AS id, CAST(NULL AS BIGINT) AS turn, lang AS kind, text FROM documents
+    UNION ALL
+    SELECT 'conversations', conv_id, turn, role, text FROM conversations"""
+_EVENTS = """WITH rows AS (
+        SELECT CAST(ts AS DATE) AS date, event_type AS country, CAST(user_id AS VARCHAR) AS state, ts, event_id, value,
+               props AS source
+        FROM events)"""
+
 ORACLE: dict[str, str] = {
     # sources and sinks
     "src_csv_roundtrip": _sql(_CASES),
@@ -287,10 +296,54 @@ ORACLE: dict[str, str] = {
         SELECT state, date, confirmed, prev, daily_new, ROUND(roll, 6) AS roll_mean,
                COALESCE(daily_new > roll * 1.5, FALSE) AS anomaly
         FROM rolled"""),
+    "place_trend": _sql("""
+        , day AS (
+          SELECT country, state, date, CAST(COALESCE(SUM(confirmed), 0) AS BIGINT) AS confirmed
+          FROM cases WHERE state IS NOT NULL GROUP BY country, state, date),
+        step AS (SELECT *, LAG(confirmed) OVER (PARTITION BY country, state ORDER BY date) AS prev FROM day),
+        new AS (SELECT *, CASE WHEN prev IS NOT NULL THEN GREATEST(confirmed - prev, 0) END AS daily_new FROM step),
+        rolled AS (
+          SELECT *, AVG(daily_new) OVER (
+            PARTITION BY country, state ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS roll
+          FROM new)
+        SELECT country, state, date, confirmed, prev, daily_new, ROUND(roll, 6) AS roll_mean,
+               COALESCE(daily_new > roll * 1.5, FALSE) AS anomaly
+        FROM rolled"""),
     "subnational_gap": _sql("""
         , a AS (
           SELECT country, date, CAST(SUM(confirmed) AS BIGINT) AS regional FROM wide_src
           GROUP BY country, date HAVING SUM(confirmed) IS NOT NULL),
         b AS (SELECT country, date, CAST(SUM(confirmed) AS BIGINT) AS national FROM long_src GROUP BY country, date)
         SELECT country, date, regional, national, regional - national AS gap FROM a FULL JOIN b USING (country, date)"""),
+    # long texts through files
+    "csv_text_roundtrip": _TEXTS,
+    "json_text_roundtrip": _TEXTS,
+    # raw rows
+    "events_lag": f"""{_EVENTS}
+        SELECT event_id, country, value,
+               LAG(value) OVER (PARTITION BY country ORDER BY date, ts, event_id) AS prev_value,
+               LAG(event_id) OVER (PARTITION BY country ORDER BY date, ts, event_id) AS prev_id
+        FROM rows""",
+    "events_latest": f"""{_EVENTS}
+        SELECT country, """ + ", ".join(
+            f"arg_max({c}, {{'d': date, 'st': COALESCE(state, ''), 'so': source, 'v': {c}}}) FILTER ({c} IS NOT NULL) AS {c}"
+            for c in ("date", "state", "value", "source")
+        ) + " FROM rows GROUP BY country",
+    "events_box": f"""{_EVENTS},
+        quartiles AS (
+          SELECT country, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
+          FROM rows GROUP BY country),
+        fences AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM quartiles)
+        SELECT country, ROUND(q1, 6) AS q1, ROUND(median, 6) AS median, ROUND(q3, 6) AS q3,
+               ROUND(lower_fence, 6) AS lower_fence, ROUND(upper_fence, 6) AS upper_fence,
+               MIN(value) FILTER (value BETWEEN lower_fence AND upper_fence) AS whisker_low,
+               MAX(value) FILTER (value BETWEEN lower_fence AND upper_fence) AS whisker_high,
+               COUNT(*) AS n_rows, COUNT(*) FILTER (value NOT BETWEEN lower_fence AND upper_fence) AS n_outliers
+        FROM rows JOIN fences USING (country) GROUP BY country, q1, median, q3, lower_fence, upper_fence""",
+    "events_growth": f"""{_EVENTS},
+        step AS (
+          SELECT *, LAG(value) OVER (PARTITION BY country ORDER BY date, COALESCE(state, ''), source, value) AS prev FROM rows),
+        grown AS (SELECT *, COALESCE(value / NULLIF(prev, 0) - 1, 0) AS rate FROM step)
+        SELECT date, country, state, source, value, ROUND(rate, 6) AS growth_rate, ROUND(rate * 100, 6) AS growth_pct
+        FROM grown""",
 }

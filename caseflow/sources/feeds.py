@@ -67,16 +67,17 @@ def std_wide(df: DataFrame, *, source: str, date_pattern: str = WIDE_DATE_PATTER
 
 
 def std_wide_measures(
-    *, confirmed: DataFrame, deaths: DataFrame, recovered: DataFrame, source: str, date_pattern: str = WIDE_DATE_PATTERN
+    *, confirmed: DataFrame, deaths: DataFrame | None = None, recovered: DataFrame | None = None, source: str, date_pattern: str = WIDE_DATE_PATTERN
 ) -> DataFrame:
-    """Three wide files of one layout, one per measure, as one canonical table.
+    """Up to three wide files of one layout, one per measure, as one canonical table.
 
     A full outer join on place and date, done by appending and grouping, so that null
     states match. Dates are parsed first: ``01/22/20`` meets ``1/22/20``. Where a file
     repeats a place and date, its rows are numbered by value, null last, and the first
     meets the other files' first: no row is lost. One shuffle, by place and date.
     """
-    files = {"confirmed": confirmed, "deaths": deaths, "recovered": recovered}
+    given = {"confirmed": confirmed, "deaths": deaths, "recovered": recovered}
+    files = {name: df for name, df in given.items() if df is not None}
     ids = ["Province/State", "Country/Region", "date"]
     parts = [
         wide_to_long(df, value=name, value_type=CANON[name].dataType)

@@ -75,8 +75,8 @@ def test_query_equals_sql(spark, duck, key):
 
 
 # these read back what they or a first job wrote
-STORED = ("src_", "jsonl", "sink", "wide_", "combine", "feed_", "box_")
-LAZY = [k for k in catalog.QUERIES if not k.startswith(STORED)]
+STORED = ("src_", "jsonl", "sink", "wide_", "combine", "feed_", "box_", "csv_", "json_")
+LAZY = [k for k in catalog.QUERIES if not k.startswith((*STORED, "events_"))]
 
 
 @pytest.mark.parametrize("key", LAZY)
@@ -90,3 +90,23 @@ def test_plan_reads_the_orders_once_and_stays_in_the_jvm(spark, key):
     scans = [line for line in text.splitlines() if "FileScan" in line and "o_custkey" in line]
     assert len(scans) == 1, scans
     assert "o_totalprice" not in scans[0]
+
+
+def test_raw_rows_are_shuffled_once_for_the_lag(spark):
+    out = QUERIES["events_lag"](spark, SF)
+    out.collect()
+    text = plan(out)
+    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 3 and "date" in exchanges[0] and "Join" not in text
+    # under the second and third there is one row per place and day
+    below = text[text.index(exchanges[2]) :]
+    assert "partial_max" in below
+
+
+def test_raw_rows_are_not_sorted_for_the_latest_values(spark):
+    out = QUERIES["events_latest"](spark, SF)
+    out.collect()
+    lines = plan(out).splitlines()
+    raw = next(n for n, line in enumerate(lines) if "FileScan" in line and "props" in line)
+    sort = max(n for n, line in enumerate(lines[:raw]) if "Sort" in line)
+    assert any("BroadcastHashJoin" in line for line in lines[sort:raw])

@@ -21,6 +21,12 @@ AAA,Aland,2020-01-22,10.0,,x
 AAA,Aland,2020-01-23,14.0,1.0,x
 WRL,World,2020-01-23,99.0,9.0,x
 """
+DEATHS = """Province/State,Country/Region,Lat,Long,01/23/20,1/24/20
+,Aland,1,2,1,2
+"""
+RECOVERED = """Province/State,Country/Region,Lat,Long,1/22/20
+North,Bland,3,4,7
+"""
 SINGLE = """date,cases,deaths
 2020-01-22,11,0
 2020-01-23,15,2
@@ -30,7 +36,8 @@ SINGLE = """date,cases,deaths
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("jobs")
-    for name, text in {"wide": WIDE, "long": LONG, "single": SINGLE, "names": "name\nAland\nBland\n"}.items():
+    for name, text in {"wide": WIDE, "long": LONG, "single": SINGLE, "names": "name\nAland\nBland\n", "deaths": DEATHS,
+                       "recovered": RECOVERED, "groups": "name,kind\nWorld,all\n"}.items():
         (root / f"{name}.csv").write_text(text)
     at = lambda name: str(root / name)
     main(["load", "--wide", at("wide.csv"), "--long", at("long.csv"), "--single", at("single.csv"),
@@ -41,6 +48,10 @@ def folder(spark, tmp_path_factory):
     main(["enrich", "--cases", at("cases"), "--out", at("enriched")])
     main(["reports", "--format", "json", "--option", f"path={at('docs')}", "--out", at("reports")])
     main(["dashboard", "--enriched", at("enriched"), "--names", at("names.csv"), "--out", at("tables")])
+    main(["load", "--wide", at("wide.csv"), "--wide-deaths", at("deaths.csv"), "--wide-recovered", at("recovered.csv"), "--long", at("long.csv"),
+          "--single", at("single.csv"), "--single-country", "Aland", "--out", at("measured")])
+    main(["reports", "--cases", at("cases"), "--exclude", at("groups.csv"), "--out", at("narrowed")])
+    main(["explore", "--cases", at("cases"), "--out", at("explored")])
     return at
 
 
@@ -53,6 +64,35 @@ def test_load(spark, folder):
         (d(22), "Aland", None, 11, 0.0, "S"), (d(23), "Aland", None, 15, 2.0, "S")])
 
 
+def test_load_of_three_wide_files(spark, folder):
+    wide = src.read_parquet(spark, folder("measured")).where("source = 'WIDE'")
+    d = lambda n: dt.date(2020, 1, n)
+    assert ordered(rows(wide, "date", "country", "confirmed", "deaths", "recovered")) == ordered([
+        (d(22), "Aland", 1, None, None), (d(23), "Aland", 3, 1.0, None), (d(24), "Aland", 2, 2.0, None),
+        (d(22), "Bland", 0, None, 7.0), (d(23), "Bland", None, None, None), (d(24), "Bland", 5, None, None)])
+
+
+def test_names_left_out_of_the_reports(spark, folder):
+    read = lambda name: spark.read.option("header", True).csv(folder(f"narrowed/{name}"))
+    assert ordered(rows(read("country_cumulative"), "country")) == [("Aland",), ("Bland",)]
+    assert ordered(rows(read("top20_confirmed"), "country")) == [("Aland",), ("Bland",)]
+    assert ("World",) in rows(read("unique_countries"))
+
+
+def test_exploration(spark, folder):
+    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(folder(f"explored/{name}"))
+    assert rows(read("missing_summary"), "state", "total_rows") == [(8, 11)]
+    assert read("missing_ratio").count() and read("schema_profile").count() == 7 and read("unique_counts").count()
+    # without a state there is no predecessor: only Bland, North has increments
+    assert ordered(rows(read("country_daily").where("daily_new > 0"), "country", "daily_new")) == []
+    assert read("active_countries_daily").count() == 0
+    assert ordered(rows(read("world_cum_anomaly"), "confirmed")) == ordered([(22,), (131,), (7,)])
+    assert read("country_anomaly_points").columns[0] == "country"
+    assert ordered(rows(read("latest_per_country"), "country", "confirmed", "deaths")) == ordered([("Aland", 2, 2.0), ("Bland", 5, None), ("World", 99, 9.0)])
+    assert rows(read("top20_latest"), "country")[0] == ("World",)
+    assert rows(read("global_totals"), "total_confirmed") == [(106,)]
+
+
 def test_copies_are_equal(spark, folder):
     cases = ordered(rows(src.read_parquet(spark, folder("cases"))))
     assert ordered(rows(src.read_documents(spark, "json", {"path": folder("docs")}))) == cases
@@ -84,6 +124,7 @@ def test_dashboard(spark, folder):
     table = lambda name: spark.read.parquet(folder(f"tables/{name}"))
     assert rows(table("global_totals"), "total_confirmed", "total_deaths", "latest_date") == [(7, 2, "2020-01-24")]
     assert ordered(rows(table("latest_per_country"), "country", "confirmed", "deaths", "source")) == ordered([("Aland", 2, 2.0, "W"), ("Bland", 5, None, "W")])
+    assert set(table("latest_per_country").columns) == set(spark.read.parquet(folder("enriched")).columns)
     assert rows(table("yearly_cumulative")) == [(2020, 7, 2.0)]
     assert rows(table("countries_with_data")) == [("Aland",)]
     assert table("box_stats").count() == 2
