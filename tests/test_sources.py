@@ -309,6 +309,40 @@ def test_stage_cuts_the_lineage(spark, sample):
     assert "Exchange" not in plan(staged) and staged.count() == 2
 
 
+def test_staged_folders_can_be_removed(spark, sample):
+    staged, other = src.stage(sample), src.stage(sample)
+    assert Path(staged.staged_at.removeprefix("file:")).is_dir()
+    src.discard(staged)
+    assert not Path(staged.staged_at.removeprefix("file:")).exists() and other.count() == 4
+
+
+def test_staging_leaves_no_shuffle_files(spark, sample):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    known = tracker.shuffleStatuses().size()
+    assert src.stage(sample.groupBy("country").count()).count() == 2
+    assert tracker.shuffleStatuses().size() <= known + 1  # that of the count itself
+    assert spark.conf.get(name) == before
+
+
+class Master:
+    """A session whose master is another."""
+
+    def __init__(self, master):
+        self.sparkContext = self
+        self.conf, self.master = {}, master
+
+    def getCheckpointDir(self):
+        return None
+
+
+@pytest.mark.parametrize("master", ["local-cluster[2,1,1024]", "yarn", "spark://host:1", "k8s://x"])
+def test_a_cluster_must_name_a_shared_folder(master):
+    with pytest.raises(ValueError, match="shared by the cluster"):
+        src.scratch_dir(Master(master))
+
+
 def test_enforce_orders_casts_and_fills(spark):
     df = spark.createDataFrame([("1", "A", 7)], "confirmed string, country string, extra int")
     assert enforce(df).schema.simpleString() == CANON.simpleString()
