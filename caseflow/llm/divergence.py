@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +41,14 @@ BLOCK = 256
 _BYTES = bytes(c if c > 127 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-def term_counts(text: str, chunk: int = CHUNK) -> Counter:
-    """How often each term, as UTF-8, occurs; long texts are taken a chunk at a time."""
-    counts: Counter = Counter()
+def words(text: str, chunk: int = CHUNK) -> Iterator[list[bytes]]:
+    """The terms of a text as UTF-8, in lists; of long texts a chunk at a time."""
     data, start = text.encode("utf-8").translate(_BYTES), 0
     while start < len(data):
         stop = data.find(b" ", start + chunk)
         stop = len(data) if stop < 0 else stop
-        counts.update(data[start:stop].split())
+        yield data[start:stop].split()
         start = stop
-    return counts
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
@@ -57,28 +56,32 @@ def count_terms(docs: DataFrame) -> DataFrame:
     and documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[int]] = {}
-
-        def rows() -> pa.RecordBatch:
-            keys = zip(*held, strict=True) if held else [[], [], []]
-            counts = zip(*held.values(), strict=True) if held else [[], []]
-            columns = [pa.array(list(c), pa.string()) for c in keys] + [pa.array(list(c), pa.int64()) for c in counts]
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, in_docs) in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.repeat(pa.scalar(name, pa.string()), len(n)) for name in (lang, source)),
+                        pa.array(list(n), pa.string()),
+                        pa.array(list(n.values()), pa.int64()),
+                        pa.array([in_docs[term] for term in n], pa.int64()),
+                    ],
+                    ["lang", "source", "term", "n", "docs"],
+                )
             held.clear()
-            return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
         for part in slices(batches, "text"):
             for text, lang, source in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                lang, source = lang or "", source or ""
-                for term, n in term_counts(text or "").items():
-                    counts = held.get((lang, source, term))
-                    if counts is None:
-                        held[lang, source, term] = [n, 1]
-                    else:
-                        counts[0] += n
-                        counts[1] += 1
-                if len(held) > HELD:
-                    yield rows()
-        yield rows()
+                n, in_docs = held.setdefault((lang or "", source or ""), (Counter(), Counter()))
+                seen: set = set()
+                for found in words(text or ""):
+                    n.update(found)
+                    seen.update(found)
+                in_docs.update(seen)
+            if sum(len(n) for n, _ in held.values()) > HELD:
+                yield from rows()
+        yield from rows()
 
     return only(docs, "text", "lang", "source").mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
@@ -118,7 +121,8 @@ def merged_skybands(points: DataFrame, k: int, piece: int = PIECE) -> DataFrame:
     keys = ["lang", "source"]
 
     def run(table: pa.Table) -> pa.Table:
-        names = np.argsort(np.argsort(np.array(table["term"].to_pylist(), dtype=object)))
+        names = np.empty(table.num_rows, np.int64)
+        names[pc.sort_indices(table["term"]).to_numpy()] = np.arange(table.num_rows)  # places in the order of UTF-8
         kept = skyband(table["n"].to_numpy(), table["whole"].to_numpy(), names, k)
         return table.take(pa.array(np.sort(kept)))
 
