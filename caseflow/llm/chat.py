@@ -38,15 +38,23 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1\2\3", text)
 
 
-_PIECES: dict[Turn, str] = {}
+class _Rendered(dict):
+    """Turns as rendered before, up to a number of characters in all: a conversation's
+    every prefix asks for the same ones again."""
 
+    most, held = 32_000_000, 0
 
-def _piece(role: str, text: str) -> str:
-    if (role, text) not in _PIECES:
-        if len(_PIECES) >= 1024:
-            _PIECES.clear()
-        _PIECES[role, text] = _marked(role, text)
-    return _PIECES[role, text]
+    def __missing__(self, turn: Turn) -> str:
+        piece = _marked(*turn)
+        if self.held + len(piece) > self.most:
+            self.clear()
+            self.held = 0
+        self.held += len(piece) + 100
+        self[turn] = piece
+        return piece
+
+
+_PIECES = _Rendered()
 
 
 def _marked(role: str, text: str) -> str:
@@ -59,7 +67,7 @@ def _marked(role: str, text: str) -> str:
 
 def marked(turns: list[Turn]) -> str:
     """The library's own template: every turn between marks, control strings in texts escaped."""
-    return "".join(_piece(role, text) for role, text in turns)
+    return "".join(map(_PIECES.__getitem__, turns))
 
 
 def read_turn(segment: str) -> Turn:

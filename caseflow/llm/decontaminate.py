@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from caseflow.llm.common import hash_words, ngrams, ngrams_many, only, received, share, slices
 
-SEED = 3  # words
+SEED = 3  # words; a shorter item is its own seed
 REACH = 0.5  # least share of the best possible alignment score
 WORDS = 500_000  # item words, about, that are sent to the tasks at once
 MATCH, GAP = 2, 1
@@ -37,6 +37,7 @@ class Items:
         self.item = np.repeat(np.arange(len(ids)), [len(g) for g in grams])
         self.offset = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)]).astype(np.int64)
         self.seeds = np.unique(self.gram)
+        self.sizes = sorted({min(SEED, len(w)) for w in self.words if len(w)})  # of seeds, in words
         self.index()
 
     def keep_rare(self, counts: dict[int, int]) -> None:
@@ -119,12 +120,15 @@ def _pass(docs: DataFrame, items: Items) -> DataFrame:
     counter = share(docs.sparkSession, items)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = received(counter).seeds
+        items = received(counter)
+        seeds = items.seeds
         total = np.zeros(len(seeds), dtype=np.int64)
         for part in slices(batches, "text"):
-            grams, _ = ngrams_many(*hash_words(part.column(1).to_pylist()), SEED)
-            place = np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)
-            total += np.bincount(place[seeds[place] == grams], minlength=len(seeds))
+            hashed = hash_words(part.column(1).to_pylist())
+            for size in items.sizes:
+                grams, _ = ngrams_many(*hashed, size)
+                place = np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)
+                total += np.bincount(place[seeds[place] == grams], minlength=len(seeds))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["seed", "n"])
 
@@ -137,15 +141,15 @@ def _pass(docs: DataFrame, items: Items) -> DataFrame:
         items = received(sent)
         for part in slices(batches, "text"):
             hashes, starts = hash_words(part.column(1).to_pylist())
-            grams, ends = ngrams_many(hashes, starts, SEED)
             found = []
-            near = np.zeros(len(starts) - 1, bool)
-            if len(items.seeds):
+            for size in items.sizes if len(items.seeds) else ():
+                grams, ends = ngrams_many(hashes, starts, size)
+                near = np.zeros(len(starts) - 1, bool)
                 place = np.minimum(np.searchsorted(items.seeds, grams), len(items.seeds) - 1)
                 near[np.searchsorted(ends, np.flatnonzero(items.seeds[place] == grams), side="right") - 1] = True
-            for d in np.flatnonzero(near).tolist():
-                words = hashes[starts[d] : starts[d + 1]]
-                found += [(d, i, a, words[a:b]) for i, a, b in windows_of(items, grams[ends[d] : ends[d + 1]], len(words))]
+                for d in np.flatnonzero(near).tolist():
+                    words = hashes[starts[d] : starts[d + 1]]
+                    found += [(d, i, a, words[a:b]) for i, a, b in windows_of(items, grams[ends[d] : ends[d + 1]], len(words))]
             found.sort(key=lambda f: len(f[3]))
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
             group, cells = [], 0

@@ -9,19 +9,19 @@ Machines are fitted on the driver on a bounded sample of labelled rows.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import crc_remainder, only, received, remainder, share, slices
 
 DIMENSIONS = 4096
-SAMPLE = 2400  # labelled rows expected in the sample, shared equally by the languages
-LETTER = re.compile(r"[^\W\d_]")
+SAMPLE = 2400  # labelled rows in the sample, about, shared equally by the languages; each has at most twice its share
+LETTER = regex.compile(r"\p{L}")
 
 # FIXED: languages (ISO 639-1) by family; a learned language in none of them joins "other".
 FAMILIES = {
@@ -124,7 +124,11 @@ def identify(docs: DataFrame) -> DataFrame:
     chosen = F.lit(False)
     if counts:
         shares = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, each / n) * (1 << 30)))))
-        chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < shares[F.col("lang")]
+        # by id and text: rows without an id are spread too
+        chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < shares[F.col("lang")]
+    # copies of one row are drawn together; the number of rows is bounded all the same
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text")))
+    drawn = labelled.where(chosen).select("text", "lang", nth.alias("nth")).where(F.col("nth") <= 2 * each)
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -133,7 +137,7 @@ def identify(docs: DataFrame) -> DataFrame:
                 [pa.array([lang for lang, _ in rows], pa.string()), pa.array([p.tobytes() for _, p in rows], pa.binary())], names=["lang", "profile"]
             )
 
-    sample = labelled.where(chosen).select("text", "lang").mapInArrow(profiles, "lang string, profile binary").toPandas()
+    sample = drawn.select("text", "lang").mapInArrow(profiles, "lang string, profile binary").toPandas()
     sample = sample.sort_values(["lang", "profile"])
     x = np.frombuffer(b"".join(sample["profile"]), dtype=np.float32).reshape(len(sample), DIMENSIONS)
     sent = share(docs.sparkSession, Model(x, list(sample["lang"])))

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import crc_remainder, hash_words, only, received, remainder, share, slices
@@ -103,7 +103,8 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out are rows whose crc32 of doc_id as text leaves 2 modulo 4. The result has one row
     per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 from 0.7 on).
     Null texts count as empty and are scored too. Labels that are null teach nothing;
-    several for one document count as their mean, rounded half up; a label of no document is ignored. With
+    several for one document count as their mean, rounded half up; a label of no document is ignored; of rows that
+    share a doc_id one teaches. With
     no usable label at all every score is 0.5.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -112,8 +113,10 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = known.groupBy("doc_id").agg(F.round(F.avg("quality")).alias("quality"))
     total = known.count()
     below = int(min(1.0, SAMPLE / max(1, total)) * (1 << 30))
-    # at most a few more than SAMPLE rows, whatever the size of the tables
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < below)
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < below).limit(2 * SAMPLE)
+    # of rows that share a doc_id one teaches: at most as many rows as labels, whatever the size of the tables
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    taught = docs.join(F.broadcast(drawn), "doc_id").withColumn("nth", nth).where("nth = 1")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -121,7 +124,7 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 [part.column(1), pa.array([r.astype(np.float16).tobytes() for r in inputs(part.column(0).to_pylist())], pa.binary())], names=["quality", "row"]
             )
 
-    sample = docs.join(F.broadcast(drawn), "doc_id").select("text", "quality").mapInArrow(rows_of, "quality double, row binary").toPandas()
+    sample = taught.select("text", "quality").mapInArrow(rows_of, "quality double, row binary").toPandas()
     sample = sample.sort_values(["quality", "row"])
     x = np.frombuffer(b"".join(sample["row"]), dtype=np.float16).astype(np.float32).reshape(len(sample), WORDS + STRUCTURE)
     machine = Machine(WORDS + STRUCTURE)
