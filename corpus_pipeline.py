@@ -21,7 +21,7 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was recognised; texts without letters go."""
+    """Documents in a language that was recognised; null texts and texts without letters go."""
     return _keep(docs, langid.identify(docs).where("lang_pred <> 'und'"))
 
 
@@ -31,10 +31,13 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id; rows that
-    repeat a doc_id count as one group."""
-    kept = _keep(docs, jaccard.similar(docs).where("doc_id <=> component_id"))
-    return kept.dropDuplicates(["doc_id"])
+    """Of each group of near duplicates the document with the smallest doc_id, null before
+    all. Rows go by doc_id and text: different texts stay apart whatever their ids, and
+    rows alike in both are one document."""
+    keyed = docs.withColumn("kept_key", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    found = jaccard.similar(keyed.select(F.col("kept_key").alias("doc_id"), "text")).where("doc_id = component_id")
+    kept = keyed.join(found.select(F.col("doc_id").alias("kept_key")).distinct(), "kept_key", "left_semi")
+    return kept.dropDuplicates(["kept_key"]).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
