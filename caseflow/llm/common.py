@@ -143,13 +143,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1_000_000)
             base, start = int(ends[stop - 1]), stop
 
 
-def components(links: DataFrame, stage) -> DataFrame:
+def components(links: DataFrame, stage, discard=lambda *tables: None) -> DataFrame:
     """(id, root) of every id in ``links`` (a, b); root is the smallest id reachable.
 
     Alternates large-star and small-star: each round hangs a node's neighbours on the
     smallest of them, so chains halve and stars settle at once. Every round is a
     minimum per node, combined before its shuffle, and a join on the node; the edges
-    are written out per round (``stage``), which cuts the lineage.
+    are written out per round (``stage``), which cuts the lineage, and those of the round
+    before removed (``discard``).
     """
     edges = stage(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -162,7 +163,8 @@ def components(links: DataFrame, stage) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        before, edges = edges, stage(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        discard(before)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break
