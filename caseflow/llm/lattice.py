@@ -10,8 +10,9 @@ before. These have the mass that Good and Turing estimate, the share of words se
 among all tokens. Over all words the probabilities add up to no more than 1, unlike
 those of additive smoothing, which gives its least share to any number of unseen words.
 
-Words are counted per block of documents, so the word table is joined with one row per
-block and word, not per occurrence.
+A text's score is a sum over its words. The commonest words, a bounded table, go to
+the tasks that read the texts and are summed there; of the others one row per text and
+word is joined with the word table. Texts are read twice and neither stored nor shuffled.
 """
 
 from __future__ import annotations
@@ -22,16 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import crc_remainder, mix, only, received, remainder, share, slices, words_of
-from caseflow.sources.scratch import stage
+from caseflow.sources.scratch import discard, stage
 
 LONGEST = 16  # code points of the longest piece that is used
 ROUNDS = 2  # of expectation maximisation
 PRIOR = 1_000.0  # how many piece uses the vocabulary's own scores count for
-BLOCK_BYTES = 8_000_000
+COMMON = 100_000  # words that are sent to all tasks
+HELD = 300_000  # words that a task counts before it passes them on
 _MUL = 0x5851F42D4C957F2D
 _INV = pow(_MUL, -1, 1 << 64)
 
@@ -152,7 +154,7 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
     ]
 
 
-def score(docs: DataFrame, pieces_path: str) -> DataFrame:
+def score(docs: DataFrame, pieces_path: str, common: int = COMMON) -> DataFrame:
     """log10 probability of every text under a word model and under the lattice.
 
     ``docs`` needs ``doc_id`` and ``text``; rows whose crc32 of doc_id as text leaves 0
@@ -161,46 +163,36 @@ def score(docs: DataFrame, pieces_path: str) -> DataFrame:
     train_tokens, base_score (add-0.1 smoothing over training tokens) and score (the
     lattice). A null or empty text is the end alone; null ids count as the empty text for
     the split; repeated rows are scored and counted each; an empty table gives an empty
-    one. With nothing to learn from, the word model is even and the lattice has the
+    one. ``common`` words are sent to all tasks; it steers the cost alone. With nothing
+    to learn from, the word model is even and the lattice has the
     vocabulary's own scores.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, task = 0, 0, TaskContext.get().partitionId()
-        for part in slices(batches, "text"):
-            if held > BLOCK_BYTES:
-                number, held = number + 1, 0
-            held += part.nbytes
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([(task << 32) + number] * part.num_rows, pa.int64())], names=["doc_id", "text", "block"])
-
-    blocked = stage(only(docs, "doc_id", "text").mapInArrow(block, f"doc_id {kind}, text string, block long"))
+    rows = only(docs, "doc_id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(block: int, seen: Counter, taught: Counter) -> pa.RecordBatch:
+        def out() -> pa.RecordBatch:
             words = list(seen)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(words), pa.int64()), pa.array([w.decode() for w in words], pa.string()), pa.array([taught[w] for w in words], pa.int64())],
-                names=["block", "word", "n"],
-            )
+            columns = [pa.array(words, pa.string()), pa.array([taught[w] for w in words], pa.int64()), pa.array(list(seen.values()), pa.int64())]
+            seen.clear()
+            taught.clear()
+            return pa.RecordBatch.from_arrays(columns, ["word", "n", "seen"])
 
-        now, seen, taught = None, Counter(), Counter()
+        seen, taught = Counter(), Counter()
         for part in slices(batches, "text"):
-            for i, text, own in zip(*part.to_pydict().values(), strict=True):
-                if own != now and seen:
-                    yield out(now, seen, taught)
-                    seen, taught = Counter(), Counter()
-                now = own
+            for i, text in zip(*part.to_pydict().values(), strict=True):
                 words = words_of(text)
                 seen.update(words)
                 if crc_remainder(i, 10):
                     taught.update(words)
-        if seen:
-            yield out(now, seen, taught)
+            if len(seen) > HELD:
+                yield out()
+        yield out()
 
-    uses = stage(blocked.mapInArrow(count, "block long, word string, n long"))
-    words = stage(uses.groupBy("word").agg(F.sum("n").alias("n")))
+    counted = rows.mapInArrow(count, "word string, n long, seen long")
+    words = stage(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")))
     texts = docs.where(remainder(F.col("doc_id"), 10) != 0).count()
     tokens, kinds, once = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1)).first()
     tokens, kinds, once = tokens + texts, kinds + (texts > 0), once + (texts == 1)
@@ -234,27 +226,48 @@ def score(docs: DataFrame, pieces_path: str) -> DataFrame:
             with np.errstate(divide="ignore"):
                 whole = np.log((1 - escape) * n / max(1, tokens))
             base = np.log10((n + 0.1) / (tokens + 0.1 * (kinds + 1)))
+            value = np.logaddexp(whole, np.log(escape) + inside) / np.log(10)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n > 0), pa.array(base), pa.array(np.logaddexp(whole, np.log(escape) + inside) / np.log(10))],
-                names=["word", "known", "base", "value"],
+                [batch.column(0), batch.column(2), pa.array((n > 0).astype(np.int64)), pa.array(base), pa.array(value)],
+                names=["word", "seen", "known", "base", "value"],
             )
 
-    rated = words.mapInArrow(rate, "word string, known boolean, base double, value double")
-    told = uses.select("block", "word").join(rated, "word")
+    rated = stage(words.mapInArrow(rate, "word string, seen long, known long, base double, value double"))
+    discard(words)
+    top = rated.orderBy(F.desc("seen"), "word").limit(common).collect()
+    usual = share(spark, ({r.word.encode(): i for i, r in enumerate(top)}, np.array([(r.known, r.base, r.value) for r in top], dtype=np.float64).reshape(-1, 3)))
     end_base = float(np.log10((texts + 0.1) / (tokens + 0.1 * (kinds + 1))))
     end_value = float(np.log10((1 - escape) * texts / tokens)) if texts else end_base
 
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        place = {w.encode(): i for i, w in enumerate(right.column("word").to_pylist())}
-        known, base, value = (right.column(c).to_numpy() for c in ("known", "base", "value"))
-        rows: list[tuple] = []
-        for i, text in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), strict=True):
-            own = words_of(text)
-            at = np.fromiter(map(place.__getitem__, own), dtype=np.int64, count=len(own))
-            rows.append((crc_remainder(i, 10) == 0, len(own) + 1, int(known[at].sum()) + (texts > 0), tokens, float(base[at].sum()) + end_base, float(value[at].sum()) + end_value))
-        kinds_out = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds_out)]
-        return pa.table([left.column("doc_id"), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per text with the sums over its common words, and one per further word."""
+        (place, values), row = received(usual), TaskContext.get().partitionId() << 40
+        for part in slices(batches, "text"):
+            took: list[int | None] = []
+            out: list[tuple] = []
+            for at, (i, text) in enumerate(zip(*part.to_pydict().values(), strict=True)):
+                own = words_of(text)
+                row += 1
+                found = np.fromiter((place.get(w, -1) for w in own), dtype=np.int64, count=len(own))
+                known, base, value = values[found[found >= 0]].sum(axis=0).tolist()
+                out.append((row, crc_remainder(i, 10) == 0, len(own) + 1, int(known) + (texts > 0), base + end_base, value + end_value, None, None))
+                rare = Counter(own[j] for j in np.flatnonzero(found < 0).tolist())
+                out += [(row, None, None, None, None, None, w, n) for w, n in rare.items()]
+                took += [at, *[None] * len(rare)]
+            columns = [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, part.column(0).take(pa.array(took, pa.int64()))], names)
+
+    names = ["row", "held_out", "n_tokens", "n_known", "base", "value", "word", "times", "doc_id"]
+    told = stage(rows.mapInArrow(add_up, f"row long, held_out boolean, n_tokens long, n_known long, base double, value double, word string, times long, doc_id {kind}"))
+    times = F.col("times")
+    rest = told.where("word IS NOT NULL").select("row", "word", "times").join(rated.select("word", "known", F.col("base").alias("b"), F.col("value").alias("v")), "word")
+    rest = rest.groupBy("row").agg(*[F.sum(times * F.col(c)).alias(f"more_{c}") for c in ("known", "b", "v")])
+    both = told.where("word IS NULL").join(rest, "row", "left")
+
+    def more(c: str, d: str) -> Column:
+        return F.col(c) + F.coalesce(f"more_{d}", F.lit(0))
+
+    return both.select(
+        "doc_id", "held_out", "n_tokens", more("n_known", "known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        more("base", "b").alias("base_score"), more("value", "v").alias("score"),
+    )
