@@ -40,11 +40,14 @@ def _whole(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataF
     """(vec_id, v array<long>) of the vectors that take part."""
 
     def whole(x: Column) -> Column:
-        return F.when(F.abs(x) < LARGEST, F.floor(x)).otherwise(F.raise_error(F.lit("a component does not fit 64 bits")).cast("long"))
+        # Spark may scale components of vectors that it then leaves out: only finite ones fail
+        scaled = x.cast("double") * scale
+        failed = F.raise_error(F.lit("a component does not fit 64 bits")).cast("long")
+        return F.when(F.abs(scaled) < LARGEST, F.floor(scaled)).when(F.abs(x.cast("double")) < float("inf"), failed)
 
     clean = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return only(vectors, vec_id, embedding).where(F.col(embedding).isNotNull() & clean & F.col(vec_id).isNotNull()).select(
-        F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, lambda x: whole(x.cast("double") * scale)).alias("v")
+        F.col(vec_id).cast("long").alias("vec_id"), F.transform(embedding, whole).alias("v")
     )
 
 
