@@ -21,7 +21,8 @@ Groups with more are not expanded: they give a star around the smallest id. Cand
 sets are fetched: the ratio of sizes, and the parities of ``BITS`` hash bins, of which
 no more can differ than tokens do. The rest is verified on the whole sets. Groups that
 then still hold several components are compared across components in blocks, so no
-link between different components is lost.
+link between different components is lost. Last the members of large groups are compared
+within their components, blocks of whole sets at a time, so that every link is counted.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseflow.llm.common import components, hash_words, mix, ngrams_many, only, slices
+from caseflow.session import settings
 from caseflow.sources.scratch import discard, stage
 
 SMALL = 6  # probers of a group that are paired with all of it
@@ -45,6 +47,7 @@ FLUSH = 1_000_000  # signatures a task gathers before it deals them into buckets
 BUCKET_BYTES = 12_000_000  # signatures of one bucket
 SAMPLE = 2_000  # documents in the sample that shows common tokens
 BITS = 1024  # hash bins whose parities bound the difference of two sets
+BLOCK_BYTES = 8_000_000  # of sets, about, that are compared at a time
 FEW = 500_000  # ids, some megabytes, that may be sent to all executors
 K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -346,6 +349,13 @@ def _bounded(pairs: DataFrame, traits: DataFrame, bands: Bands) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "p", "q").mapInArrow(run, "a long, b long")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return den * common >= num * (len(x) + len(y) - common)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those pairs whose sets reach the similarity; sets: (id, tokens binary)."""
 
@@ -353,12 +363,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x = np.frombuffer(x.as_buffer(), dtype=np.uint64)
-                y = np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(den * common >= num * (len(x) + len(y) - common))
+                keep.append(_linked(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64), num, den))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
@@ -371,9 +376,8 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 3, den: int = 4) -> Da
 
     ``docs`` needs ``doc_id`` and ``text``. The result has one row per row of ``docs``:
     doc_id, n_shingles, component_id, the smallest doc_id reachable by links (of a
-    row's equals too), n_links, the number of different sets its set was found to be
-    linked with directly (within large groups only links that join components are
-    counted). A text with fewer words than ``shingle`` is one shingle; null or empty
+    row's equals too), n_links, the number of different sets its set is linked with
+    directly. A text with fewer words than ``shingle`` is one shingle; null or empty
     texts have the empty set, which links with nothing: their component_id is their
     own doc_id. Null ids are passed over when looking for the smallest. Repeated rows
     stay repeated. Shingles and sets are compared by 64-bit hashes.
@@ -423,15 +427,20 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 3, den: int = 4) -> Da
     per_set = rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"))
     per_set = stage(per_set)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stage(_bounded(pairs, per_set.select("id", "n", "parity"), bands))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        # one document for each set that is in a candidate, then its shingles again
-        chosen = stage(per_set.join(wanted, "id").select("doc_id").distinct())
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(id, tokens) of the wanted (id): one document for each set, then its shingles again."""
+        chosen = stage(per_set.join(wanted, "id").select("doc_id").where("doc_id is not null").distinct())
         if chosen.count() <= FEW:  # spares a shuffle of all texts; beyond, Spark joins by shuffle
             chosen = F.broadcast(chosen)
-        sets = docs.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(tokens_of, "id long, tokens binary").where("id is not null")
-        sets = stage(sets)
+        schema = "id long, tokens binary"
+        named = docs.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(tokens_of, schema).where("id is not null")
+        # rows without doc_id cannot be chosen by it: their sets are
+        unnamed = docs.where("doc_id is null").select("text").mapInArrow(tokens_of, schema).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+        return stage(named.union(unnamed))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stage(_bounded(pairs, per_set.select("id", "n", "parity"), bands))
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         found = stage(_verify(pairs, sets, num, den))
         discard(sets, pairs)
         return found
@@ -448,6 +457,15 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 3, den: int = 4) -> Da
         links = stage(links.union(verified(left)))
         roots = components(links, stage, discard)
 
+    # Links within the components of large groups, of which the stars tell nothing.
+    members = groups.select(F.explode("members").alias("id")).distinct().join(roots, "id").join(per_set.select("id", "n", "parity"), "id")
+    members = stage(members.select("id", "root", "n", "parity"))
+    if not members.isEmpty():
+        sets = sets_of(members.select("id")).dropDuplicates(["id"])
+        # a row is two blocks of sets: few to an Arrow batch
+        with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):
+            links = stage(links.union(_within(members.join(sets, "id"), bands)).distinct())
+
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     # Counts and minima per set first: copies of one set may hold a third of all rows.
     per_set = per_set.select("id", F.col("doc_id").alias("least")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -488,3 +506,32 @@ def _across(flat: DataFrame, bands: Bands) -> DataFrame:
 
     met = alone.union(own.join(other, ["a", "b", "i", "j"]).select("x", "y"))
     return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def _within(sets: DataFrame, bands: Bands) -> DataFrame:
+    """Linked pairs (a, b) of sets (id, root, n, parity, tokens) with one root, block against block."""
+    sizes = sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("parts"))
+    dealt = sets.join(sizes.where("parts > 0"), "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    packed = dealt.groupBy("root", "block").agg(F.collect_list(F.struct("id", "n", "parity", "tokens")).alias("m"), F.first("parts").alias("parts"))
+    packed = stage(packed)
+    own = packed.select("root", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("parts") - 1)).alias("j"), F.col("m").alias("x"))
+    other = packed.select("root", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("m").alias("y"))
+
+    def arrays(members: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        ids, n = (np.array([m[c] for m in members], dtype=np.int64) for c in ("id", "n"))
+        parity = np.frombuffer(b"".join(m["parity"] for m in members), np.uint64).reshape(len(ids), -1)
+        return ids, n, parity, [np.frombuffer(m["tokens"], np.uint64) for m in members]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                x_id, x_n, x_p, x_t = arrays(x.as_py())
+                y_id, y_n, y_p, y_t = arrays(y.as_py())
+                i, j = np.nonzero(x_id[:, None] != y_id[None])
+                keep = plausible(x_n[i], y_n[j], x_p[i], y_p[j], bands)
+                i, j = i[keep], j[keep]
+                linked = np.array([_linked(x_t[a], y_t[b], bands.num, bands.den) for a, b in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
+                low, high = np.minimum(x_id[i], y_id[j])[linked], np.maximum(x_id[i], y_id[j])[linked]
+                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+
+    return own.join(other, ["root", "i", "j"]).select("x", "y").mapInArrow(run, "a long, b long")
