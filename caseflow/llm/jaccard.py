@@ -17,12 +17,15 @@ H+1 segments, H = 2U(1-t)/(1+t). Partners then agree wholly on all but H of them
   tokens too, so that two of these meet there (partners share at least one token).
 
 In a group of sets with one signature up to ``SMALL`` probers are paired with all of it.
-Groups with more are not expanded: they give a star around the smallest id. Candidates must pass two exact bounds before their
-sets are fetched: the ratio of sizes, and the parities of ``BITS`` hash bins, of which
-no more can differ than tokens do. The rest is verified on the whole sets. Groups that
-then still hold several components are compared across components in blocks, so no
-link between different components is lost. Last the members of large groups are compared
-within their components, blocks of whole sets at a time, so that every link is counted.
+Groups with more are not expanded: they give a star around the smallest id. Candidates
+must pass two exact bounds before their sets are fetched: the ratio of sizes, and the
+parities of hash bins, as many as tokens or more, of which no more can differ than tokens
+do. The rest is verified on the whole sets, which are made where the texts lie and sent straight to the
+pairs, to all pairs with one first id together. Groups that then still hold several
+components are compared across components by the bounds, a block of ``GROUP`` members at
+a time, so no link between different components is lost. Last the members of large groups
+are compared within their components, blocks of whole sets at a time, so that every link
+is counted.
 """
 
 from __future__ import annotations
@@ -35,18 +38,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from caseflow.llm.common import components, hash_words, mix, ngrams_many, only, slices
 from caseflow.session import settings
 from caseflow.sources.scratch import discard, stage
 
 SMALL = 6  # probers of a group that are paired with all of it
-BLOCK = 64  # members of a larger group compared at a time, once stars did not settle it
+GROUP = 2048  # members of a larger group compared at a time, once stars did not settle it
+PAIRS = 1 << 16  # pairs of members whose parities are compared in one step
+BLOCK = 64  # sets of a component, about, that are compared at a time
+LEAVES = 256  # partners, about, that one copy of a set is sent to
 DELETE = 8  # instances with H up to here file one-deletion neighbourhoods
 FLUSH = 1_000_000  # signatures a task gathers before it deals them into buckets
 BUCKET_BYTES = 12_000_000  # signatures of one bucket
 SAMPLE = 2_000  # documents in the sample that shows common tokens
-BITS = 1024  # hash bins whose parities bound the difference of two sets
+BITS = 1024  # hash bins, at least, whose parities bound the difference of two sets
+STEP_BYTES = 32_000_000  # of parities that are compared in one step
 BLOCK_BYTES = 8_000_000  # of sets, about, that are compared at a time
 FEW = 500_000  # ids, some megabytes, that may be sent to all executors
 K = np.uint64(0x9E3779B97F4A7C15)
@@ -74,19 +82,41 @@ def set_ids(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def parities(tokens: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    """Whether each of ``BITS`` bins holds an odd number of a set's tokens."""
-    bins = (mix(tokens ^ K) >> np.uint64(32)).astype(np.int64) % BITS
+    """Whether each of a set's bins holds an odd number of its tokens: ``BITS`` bins, or as
+    often twice as many until there are no fewer bins than tokens."""
+    bins = (mix(tokens ^ K) >> np.uint64(32)).astype(np.int64)
     bounds = starts.tolist()
-    return [
-        np.packbits((np.bincount(bins[a:b], minlength=BITS) & 1).astype(np.uint8)).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)
-    ]
+    out = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        most = BITS << max(0, math.ceil(math.log2(max(1, b - a) / BITS)))
+        out.append(np.packbits((np.bincount(bins[a:b] % most, minlength=most) & 1).astype(np.uint8)).tobytes())
+    return out
+
+
+def folded(parity: list[bytes], width: int) -> np.ndarray:
+    """Parities of one length as rows of ``width`` bytes: of more bins those that fall together are added."""
+    rows = np.frombuffer(b"".join(parity), np.uint64).reshape(len(parity), -1, width // 8)
+    return np.bitwise_xor.reduce(rows, axis=1)
 
 
 def plausible(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, bands: Bands) -> np.ndarray:
-    """Whether sizes n, m and parities p, q (rows of 64-bit words) leave a link possible."""
-    differ = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+    """Whether sizes n, m and parities p, q (bytes, as objects) leave a link possible."""
     most = (n + m) * (bands.den - bands.num) // (bands.den + bands.num)
-    return (bands.den * np.minimum(n, m) >= bands.num * np.maximum(n, m)) & (differ <= most)
+    out = bands.den * np.minimum(n, m) >= bands.num * np.maximum(n, m)
+    long_p, long_q = (np.fromiter(map(len, c), np.int64, len(c)) for c in (p, q))
+    for x, y in np.unique(np.stack([long_p[out], long_q[out]], axis=1), axis=0).tolist():
+        places = np.flatnonzero(out & (long_p == x) & (long_q == y))
+        for at in range(0, len(places), step := max(1, STEP_BYTES // (x + y))):
+            own = places[at : at + step]
+            differ = np.bitwise_count(folded(p[own].tolist(), min(x, y)) ^ folded(q[own].tolist(), min(x, y))).sum(axis=1, dtype=np.int64)
+            out[own] = differ <= most[own]
+    return out
+
+
+def _objects(column: pa.Array) -> np.ndarray:
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
 
 
 class Bands:
@@ -341,7 +371,7 @@ def _bounded(pairs: DataFrame, traits: DataFrame, bands: Bands) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 n, m = (batch.column(i).to_numpy() for i in (2, 3))
-                p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(n), -1) for i in (4, 5))
+                p, q = (_objects(batch.column(i)) for i in (4, 5))
                 yield batch.select([0, 1]).filter(pa.array(plausible(n, m, p, q, bands)))
 
     left = traits.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("parity").alias("p"))
@@ -356,19 +386,36 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(x) + len(y) - common)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs whose sets reach the similarity; sets: (id, tokens binary)."""
+def _meetings(pairs: DataFrame) -> DataFrame:
+    """(id, to) of every id in ``pairs`` (a, b): where its set is needed, as (hub, piece, leaf).
+    The pairs of one ``a`` meet there, about ``LEAVES`` of them in a piece."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).cast("int").alias("parts"))
+    piece = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("piece")
+    leaves = pairs.join(parts, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), piece, F.lit(True).alias("leaf"))
+    hubs = leaves.select(F.col("hub").alias("id"), "hub", "piece", F.lit(False).alias("leaf")).distinct()
+    return hubs.union(leaves).groupBy("id").agg(F.collect_list(F.struct("hub", "piece", "leaf")).alias("to"))
+
+
+def _verify(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) whose sets reach the similarity; sets: (id, tokens binary, to)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted: of each hub and piece the hub's own set first, then its partners'."""
+        hub, x = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                keep.append(_linked(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64), num, den))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+            pairs: tuple[list, list] = ([], [])
+            for a, leaf, b, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if not leaf:
+                    hub, x = a, np.frombuffer(tokens.as_buffer(), dtype=np.uint64).copy()
+                elif hub == a and _linked(x, np.frombuffer(tokens.as_buffer(), dtype=np.uint64), num, den):
+                    pairs[0].append(a)
+                    pairs[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs], names=["a", "b"])
+
+    # one exchange carries both sides: each set as often as it is needed
+    sent = sets.select("id", "tokens", F.inline("to")).select("hub", "piece", "leaf", "id", "tokens")
+    met = sent.repartition("hub", "piece").sortWithinPartitions("hub", "piece", "leaf")
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, shingle: int = 5, num: int = 3, den: int = 4) -> DataFrame:
@@ -428,28 +475,48 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 3, den: int = 4) -> Da
     per_set = stage(per_set)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        """(id, tokens) of the wanted (id): one document for each set, then its shingles again."""
-        chosen = stage(per_set.join(wanted, "id").select("doc_id").where("doc_id is not null").distinct())
-        if chosen.count() <= FEW:  # spares a shuffle of all texts; beyond, Spark joins by shuffle
-            chosen = F.broadcast(chosen)
-        schema = "id long, tokens binary"
-        named = docs.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(tokens_of, schema).where("id is not null")
+        """(id, tokens, ...) of the wanted (id, ...): one document for each set, then its shingles again."""
+        wanted = stage(wanted.join(per_set.select("id", "doc_id"), "id"))
+        more = [f for f in wanted.schema if f.name not in ("id", "doc_id")]
+        extra = [f.name for f in more]
+        schema = StructType([StructField("id", LongType()), StructField("tokens", BinaryType()), *more])
+
+        def wanted_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # texts of a repeated doc_id may differ, and copies need be sent once
+            seen: set[int] = set()
+            for part in slices(batches, "text"):
+                tokens, starts = shingle_sets(part.column(0).to_pylist(), shingle)
+                raw, at, ids = tokens.tobytes(), (starts * 8).tolist(), set_ids(tokens, starts).tolist()
+                keep = []
+                for i, (found, asked) in enumerate(zip(ids, part.column(1).to_pylist(), strict=True)):
+                    if found == asked and found not in seen:
+                        keep.append(i)
+                        seen.add(found)
+                kept = part.take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column(1), pa.array([raw[at[i] : at[i + 1]] for i in keep], pa.binary()), *kept.columns[2:]], names=["id", "tokens", *extra]
+                )
+
+        chosen = wanted.where("doc_id is not null")
+        if not extra and chosen.count() <= FEW or extra and (chosen.agg(F.sum(F.size("to"))).first()[0] or 0) <= FEW:
+            chosen = F.broadcast(chosen)  # spares a shuffle of all texts; beyond, Spark joins by shuffle
+        named = docs.join(chosen, "doc_id").select("text", "id", *extra).mapInArrow(wanted_only, schema)
         # rows without doc_id cannot be chosen by it: their sets are
-        unnamed = docs.where("doc_id is null").select("text").mapInArrow(tokens_of, schema).join(wanted, "id", "left_semi").dropDuplicates(["id"])
-        return stage(named.union(unnamed))
+        unnamed = docs.where("doc_id is null").select("text").mapInArrow(tokens_of, "id long, tokens binary")
+        unnamed = unnamed.join(wanted.where("doc_id is null").drop("doc_id"), "id").select("id", "tokens", *extra).dropDuplicates(["id"])
+        return named.union(unnamed)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stage(_bounded(pairs, per_set.select("id", "n", "parity"), bands))
-        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        found = stage(_verify(pairs, sets, num, den))
-        discard(sets, pairs)
+        found = stage(_verify(sets_of(_meetings(pairs)), num, den))
+        discard(pairs)
         return found
 
     links = verified(pairs)
     roots = components(links, stage, discard)
 
     # Groups that the stars left in several components: compare across these.
-    flat = groups.select("a", "b", F.explode("members").alias("id")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    flat = _merged(groups).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_ = flat.groupBy("a", "b").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("a", "b", "size")
     met = flat.join(open_, ["a", "b"]).join(per_set.select("id", "n", "parity"), "id")
     left = stage(_across(met, bands).join(pairs, ["a", "b"], "left_anti"))
@@ -460,13 +527,19 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 3, den: int = 4) -> Da
     # Links within the components of large groups, of which the stars tell nothing.
     members = groups.select(F.explode("members").alias("id")).distinct().join(roots, "id").join(per_set.select("id", "n", "parity"), "id")
     members = stage(members.select("id", "root", "n", "parity"))
-    if not members.isEmpty():
+    ends = links.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    if members.isEmpty():
+        ends = ends.groupBy("id").agg(F.count("*").alias("n_links"))
+    else:
         sets = sets_of(members.select("id")).dropDuplicates(["id"])
         # a row is two blocks of sets: few to an Arrow batch
         with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):
-            links = stage(links.union(_within(members.join(sets, "id"), bands)).distinct())
+            inside = stage(_within(members, sets, bands))
+        # links of two members are counted there, those of others here
+        both = links.join(members.select(F.col("id").alias("a")), "a", "left_semi").join(members.select(F.col("id").alias("b")), "b", "left_semi")
+        ends = ends.join(both, ["a", "b"], "left_anti").groupBy("id").agg(F.count("*").alias("n_links"))
+        ends = ends.union(inside.select("id", "n_links")).groupBy("id").agg(F.sum("n_links").alias("n_links"))
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     # Counts and minima per set first: copies of one set may hold a third of all rows.
     per_set = per_set.select("id", F.col("doc_id").alias("least")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     per_root = per_set.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -479,39 +552,76 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 3, den: int = 4) -> Da
     )
 
 
+def _merged(groups: DataFrame) -> DataFrame:
+    """(a, b, id) of every member of ``groups`` (a, b, members), groups in one where that
+    leaves fewer pairs to compare: many signatures of near copies list nearly the same
+    members, and so have the same member of the smallest hash."""
+    flat = groups.select("a", "b", F.size("members").alias("size"), F.explode("members").alias("id"))
+    flat = flat.withColumn("hash", F.xxhash64("id"))
+    keyed = flat.groupBy("a", "b").agg(F.min("hash").alias("key"), F.first("size").cast("double").alias("size"))
+    apart = keyed.groupBy("key").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+    flat = stage(flat.drop("hash", "size").join(keyed.select("a", "b", "key"), ["a", "b"]))
+    together = flat.groupBy("key", "id").agg(F.lit(1).alias("one"))
+    worth = together.groupBy("key").agg(F.count("*").cast("double").alias("union")).join(apart, "key")
+    worth = stage(worth.select("key", (F.col("union") * F.col("union") <= F.col("pairs")).alias("merge")))
+    # signatures are of 40 bits and buckets above -1: a merged group is none of them
+    flat = flat.join(worth, "key").select("id", F.when(F.col("merge"), F.col("key")).otherwise(F.col("a")).alias("a"), F.when(F.col("merge"), -1).otherwise(F.col("b")).cast("long").alias("b"))
+    return stage(flat.distinct())
+
+
 def _across(flat: DataFrame, bands: Bands) -> DataFrame:
     """Pairs across components of groups (a, b, size, id, root, n, parity) that the bounds
     leave, block against block."""
-    dealt = flat.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
+    dealt = flat.withColumn("parts", F.ceil(F.col("size") / GROUP).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    packed = dealt.groupBy("a", "b", "block").agg(F.collect_list(F.struct("id", "root", "n", "parity")).alias("m"), F.first("parts").alias("parts"))
-    # block i meets blocks i..parts-1: each side is sent to the meetings it takes part in
-    alone, packed = packed.where("parts = 1").select(F.col("m").alias("x"), F.col("m").alias("y")), packed.where("parts > 1")
-    own = packed.select("a", "b", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("parts") - 1)).alias("j"), F.col("m").alias("x"))
-    other = packed.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("m").alias("y"))
-
-    def arrays(members: list[dict]) -> tuple[np.ndarray, ...]:
-        ids, root, n = (np.array([m[c] for m in members], dtype=np.int64) for c in ("id", "root", "n"))
-        return ids, root, n, np.frombuffer(b"".join(m["parity"] for m in members), np.uint64).reshape(len(ids), -1)
+    # blocks i <= j meet: a member is sent to every meeting of its block, once
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meeting = ["a", "b", "i", "j"]
+    sent = sent.select("a", "b", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "n", "parity")
+
+    def compare(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        i, j, block, ids, root, n, parity = own
+        x = np.flatnonzero(block == i[0])
+        y = x if i[0] == j[0] else np.flatnonzero(block == j[0])
+        step = max(1, PAIRS // max(1, len(y)))
+        for at in range(0, len(x), step):
+            rows = x[at : at + step]
+            far = (root[rows][:, None] != root[y][None]) & (bands.den * np.minimum(n[rows][:, None], n[y][None]) >= bands.num * np.maximum(n[rows][:, None], n[y][None]))
+            if i[0] == j[0]:
+                far &= ids[rows][:, None] < ids[y][None]
+            p, q = np.nonzero(far)
+            p, q = rows[p], y[q]
+            keep = plausible(n[p], n[q], parity[p], parity[q], bands)
+            p, q = ids[p[keep]], ids[q[keep]]
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q), pa.int64()), pa.array(np.maximum(p, q), pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by meeting; one may go on in the next batch."""
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                x_id, x_root, x_n, x_p = arrays(x.as_py())
-                y_id, y_root, y_n, y_p = arrays(y.as_py())
-                i, j = np.nonzero(x_root[:, None] != y_root[None])
-                keep = plausible(x_n[i], y_n[j], x_p[i], y_p[j], bands)
-                low, high = np.minimum(x_id[i[keep]], y_id[j[keep]]), np.maximum(x_id[i[keep]], y_id[j[keep]])
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
-
-    met = alone.union(own.join(other, ["a", "b", "i", "j"]).select("x", "y"))
+            if not batch.num_rows:
+                continue
+            fresh = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(8)]
+            fresh.append(_objects(batch.column(8)))
+            held = fresh if held is None else [np.concatenate(c) for c in zip(held, fresh, strict=True)]
+            new = np.any([c[1:] != c[:-1] for c in held[:4]], axis=0)
+            edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                yield from compare([c[start:stop] for c in held[2:]])
+            held = [c[edges[-1] :] for c in held]
+        if held is not None:
+            yield from compare(held[2:])
+
+    met = sent.repartition(*meeting).sortWithinPartitions(*meeting)
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def _within(sets: DataFrame, bands: Bands) -> DataFrame:
-    """Linked pairs (a, b) of sets (id, root, n, parity, tokens) with one root, block against block."""
-    sizes = sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("parts"))
-    dealt = sets.join(sizes.where("parts > 0"), "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+def _within(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """With how many ``members`` (id, root, n, parity) of its root each is linked, (id, n_links),
+    block against block; sets: (id, tokens)."""
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("parts"))
+    dealt = members.join(sets, "id").join(sizes.where("parts > 0"), "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     packed = dealt.groupBy("root", "block").agg(F.collect_list(F.struct("id", "n", "parity", "tokens")).alias("m"), F.first("parts").alias("parts"))
     packed = stage(packed)
     own = packed.select("root", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("parts") - 1)).alias("j"), F.col("m").alias("x"))
@@ -519,19 +629,22 @@ def _within(sets: DataFrame, bands: Bands) -> DataFrame:
 
     def arrays(members: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         ids, n = (np.array([m[c] for m in members], dtype=np.int64) for c in ("id", "n"))
-        parity = np.frombuffer(b"".join(m["parity"] for m in members), np.uint64).reshape(len(ids), -1)
+        parity = np.empty(len(ids), object)
+        parity[:] = [m["parity"] for m in members]
         return ids, n, parity, [np.frombuffer(m["tokens"], np.uint64) for m in members]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+            for x, y, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 x_id, x_n, x_p, x_t = arrays(x.as_py())
                 y_id, y_n, y_p, y_t = arrays(y.as_py())
-                i, j = np.nonzero(x_id[:, None] != y_id[None])
+                # of a block that meets itself each pair is taken once
+                i, j = np.nonzero(x_id[:, None] < y_id[None] if same else x_id[:, None] != y_id[None])
                 keep = plausible(x_n[i], y_n[j], x_p[i], y_p[j], bands)
                 i, j = i[keep], j[keep]
                 linked = np.array([_linked(x_t[a], y_t[b], bands.num, bands.den) for a, b in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
-                low, high = np.minimum(x_id[i], y_id[j])[linked], np.maximum(x_id[i], y_id[j])[linked]
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+                ids, counts = np.unique(np.concatenate([x_id[i[linked]], y_id[j[linked]]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], names=["id", "n_links"])
 
-    return own.join(other, ["root", "i", "j"]).select("x", "y").mapInArrow(run, "a long, b long")
+    met = own.join(other, ["root", "i", "j"]).select("x", "y", (F.col("i") == F.col("j")).alias("same"))
+    return met.mapInArrow(run, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links"))

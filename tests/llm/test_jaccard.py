@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from caseflow.llm import jaccard
 
 
@@ -46,3 +49,45 @@ def test_rows_without_an_id_link(spark):
     found = [(r.doc_id, r.component_id, r.n_links) for r in jaccard.similar(docs).collect()]
     direct = int(linked(sets[0], sets[2]))
     assert sorted(found, key=str) == sorted([(3, 3, 1 + direct), (None, 3, 2), (7, 3, 1 + direct), (8, 8, 0), (None, None, 0)], key=str)
+
+
+def test_sets_are_sent_to_their_pairs_and_not_stored(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(jaccard, "stage", lambda df, put=jaccard.stage: stored.append(df.columns) or put(df))
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words[i : i + 60]) for i in range(4)] * 2 + ["nothing like it at all here"]
+    rows = [*enumerate(texts), (0, "another text of a repeated id"), (0, texts[0])]
+    sets = sets_of([t for _, t in rows])
+    found = sorted((r.doc_id, r.n_links) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == sorted((i, len({y for y in sets if linked(x, y)})) for (i, _), x in zip(rows, sets, strict=True))
+    assert stored and not any("tokens" in columns for columns in stored)
+
+
+def test_unrelated_long_sets_are_ruled_out_by_their_parities():
+    draw = np.random.default_rng(5)
+    x, y = (np.sort(draw.integers(0, 2**63, 5000).astype(np.uint64)) for _ in range(2))
+    near, few = np.sort(np.concatenate([x[:4800], y[:200]])), x[:3800]
+    tokens = np.concatenate([x, y, near, few])
+    sizes = np.array([len(x), len(y), len(near), len(few)])
+    parity = np.array([*jaccard.parities(tokens, np.concatenate([[0], np.cumsum(sizes)])), None], object)[:4]
+    assert len(parity[0]) == 2 * len(parity[3])  # of more bins those that fall together are added
+    first, other = np.array([0, 0, 0]), np.array([1, 2, 3])
+    assert jaccard.plausible(sizes[first], sizes[other], parity[first], parity[other], jaccard.Bands(3, 4)).tolist() == [False, True, True]
+
+
+def test_members_of_open_groups_are_compared_once_and_all(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", 9)
+    draw = np.random.default_rng(6)
+    base = draw.integers(0, 2**63, 100).astype(np.uint64)
+    sets = [np.sort(np.concatenate([base[: 100 - k], draw.integers(0, 2**63, k).astype(np.uint64)])) for k in range(40)]
+    parity = jaccard.parities(np.concatenate(sets), np.arange(0, 4001, 100))
+    groups = spark.createDataFrame([(s, 7, [*range(40)][s % 3 :]) for s in range(6)] + [(9, 8, [50, 51])], "a long, b long, members array<long>")
+    merged = jaccard._merged(groups)
+    assert merged.count() == merged.select("id").distinct().count() == 42  # six lists alike are one
+    traits = spark.createDataFrame([(i, i // 10, 100, bytes(parity[i])) for i in range(40)], "id long, root long, n long, parity binary")
+    flat = merged.where("id < 50").withColumn("size", F.lit(40).cast("long")).join(traits, "id")
+    found = {(r.a, r.b) for r in jaccard._across(flat, jaccard.Bands(3, 4)).collect()}
+    size, ids = np.array([100]), range(40)
+    lone = [np.array([p], object) for p in parity]
+    expected = {(i, j) for i in ids for j in ids if i < j and i // 10 != j // 10 and jaccard.plausible(size, size, lone[i], lone[j], jaccard.Bands(3, 4))[0]}
+    assert found == expected and (9, 10) in found
