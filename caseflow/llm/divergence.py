@@ -35,6 +35,7 @@ CHUNK = 1 << 20  # bytes of a text that are cut into terms at a time
 HELD = 200_000  # terms that a map task holds before it passes them on
 PIECE = 50_000  # terms of one source that a skyband is taken of at a time
 BLOCK = 256
+CELLS = 128  # of a grid, each way, that rules points out before they are compared
 
 # Terms are runs of letters A-Z, lower-cased, and of all beyond ASCII: every byte of a
 # UTF-8 text is one of a term as it stands, a letter to be lower-cased, or a gap.
@@ -86,28 +87,52 @@ def count_terms(docs: DataFrame) -> DataFrame:
     return only(docs, "text", "lang", "source").mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
+class Grid:
+    """Points counted in ``CELLS`` by ``CELLS`` cells of equally many ranks."""
+
+    def __init__(self, whole: np.ndarray, name: np.ndarray):
+        cell = max(1, -(-len(whole) // CELLS))
+        self.by_whole, self.by_name = np.empty(len(whole), np.int64), np.empty(len(whole), np.int64)
+        self.by_whole[np.lexsort((name, whole))] = np.arange(len(whole)) // cell
+        self.by_name[np.argsort(name, kind="stable")] = np.arange(len(whole)) // cell
+        self.counts = np.zeros((CELLS + 1, CELLS + 1), np.int64)
+
+    def add(self, places: np.ndarray) -> None:
+        np.add.at(self.counts, (self.by_whole[places] + 1, self.by_name[places] + 1), 1)
+
+    def least(self, places: np.ndarray) -> np.ndarray:
+        """How many points that were added are in cells below in both, and so have no higher ``whole`` and an earlier name."""
+        return self.counts.cumsum(axis=0).cumsum(axis=1)[self.by_whole[places], self.by_name[places]]
+
+
 def skyband(group: np.ndarray, whole: np.ndarray, name: np.ndarray, k: int) -> np.ndarray:
     """Positions of the points dominated by fewer than ``k`` others.
 
     One point dominates another that has no higher ``group``, no lower ``whole`` and a
     later ``name`` (places of names in order, no two alike). Points are visited so that
     dominators come first; k dominators include k that are kept, so only those kept and
-    those of the same block are compared.
+    those of the same block are compared. Most points have k in the cells of a grid that
+    lie wholly below theirs, and are not compared at all.
     """
     order = np.lexsort((name, whole, -group))
     whole, name = whole[order], name[order]
+    grid = Grid(whole, name)
     kept: list[np.ndarray] = []
     kept_whole, kept_name = np.empty(len(order), whole.dtype), np.empty(len(order), name.dtype)
     filled = 0
     for start in range(0, len(order), BLOCK):
-        w, m = whole[start : start + BLOCK], name[start : start + BLOCK]
+        places = np.arange(start, min(start + BLOCK, len(order)))
+        if filled >= k:
+            places = places[grid.least(places) < k]
+        w, m = whole[places], name[places]
         above = np.tri(len(w), k=-1, dtype=bool).T  # the row comes before the column
         count = ((w[:, None] <= w) & (m[:, None] < m) & above).sum(axis=0)
         count += ((kept_whole[:filled, None] <= w) & (kept_name[:filled, None] < m)).sum(axis=0)
-        good = np.flatnonzero(count < k)
-        kept_whole[filled : filled + len(good)], kept_name[filled : filled + len(good)] = w[good], m[good]
+        good = places[count < k]
+        kept_whole[filled : filled + len(good)], kept_name[filled : filled + len(good)] = whole[good], name[good]
         filled += len(good)
-        kept.append(order[start + good])
+        grid.add(good)
+        kept.append(order[good])
     return np.concatenate(kept) if kept else np.zeros(0, np.int64)
 
 

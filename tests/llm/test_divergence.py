@@ -110,3 +110,24 @@ def test_large_groups_are_merged_from_pieces(spark):
 def test_shares_are_exact_beyond_64_bits(spark):
     row = spark.range(1).select(divergence.smoothed(F.lit(20 * 10**12), F.lit(2 * 10**13), F.lit(10**9)).alias("p"), divergence.gap(F.lit(10**9 + 1).cast("long"), F.lit(1).cast("long")).alias("g")).first()
     assert row.p == 1 + 10**9 * (20 * 10**12 + 1) // (2 * 10**13 + 10**9) and row.g == 10**18
+
+
+def test_grid_rules_out_most_points_and_only_dominated_ones():
+    draw = np.random.default_rng(8)
+    whole, name = draw.integers(1, 400, 4000), draw.permutation(4000)
+    grid = divergence.Grid(whole, name)
+    added, asked = np.arange(0, 3000), np.arange(3000, 4000)
+    grid.add(added)
+    least = grid.least(asked)
+    exact = ((whole[added][:, None] <= whole[asked]) & (name[added][:, None] < name[asked])).sum(axis=0)
+    assert (least <= exact).all()
+    assert (least >= 200).sum() > 0.9 * (exact >= 200).sum()
+
+
+def test_skyband_of_many_points_with_equal_counts():
+    draw = np.random.default_rng(9)
+    group, name = draw.integers(1, 6, 3000), draw.permutation(3000)
+    whole = group + draw.integers(0, 4, 3000)
+    for k in (1, 20, 200):
+        before = (group[:, None] >= group) & (whole[:, None] <= whole) & (name[:, None] < name)
+        assert sorted(divergence.skyband(group, whole, name, k).tolist()) == np.flatnonzero(before.sum(axis=0) < k).tolist()
