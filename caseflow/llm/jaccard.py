@@ -391,9 +391,9 @@ def _meetings(pairs: DataFrame) -> DataFrame:
     The pairs of one ``a`` meet there, about ``LEAVES`` of them in a piece."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEAVES).cast("int").alias("parts"))
     piece = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("piece")
-    leaves = pairs.join(parts, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), piece, F.lit(True).alias("leaf"))
-    hubs = leaves.select(F.col("hub").alias("id"), "hub", "piece", F.lit(False).alias("leaf")).distinct()
-    return hubs.union(leaves).groupBy("id").agg(F.collect_list(F.struct("hub", "piece", "leaf")).alias("to"))
+    ends = F.array(F.struct(F.col("b").alias("id"), F.lit(True).alias("leaf")), F.struct(F.col("a").alias("id"), F.lit(False).alias("leaf")))
+    met = pairs.join(parts, "a").select(F.col("a").alias("hub"), piece, F.explode(ends).alias("end"))
+    return met.select("end.id", "hub", "piece", "end.leaf").distinct().groupBy("id").agg(F.collect_list(F.struct("hub", "piece", "leaf")).alias("to"))
 
 
 def _verify(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -506,13 +506,12 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 3, den: int = 4) -> Da
         unnamed = unnamed.join(wanted.where("doc_id is null").drop("doc_id"), "id").select("id", "tokens", *extra).dropDuplicates(["id"])
         return named.union(unnamed)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = stage(_bounded(pairs, per_set.select("id", "n", "parity"), bands))
-        found = stage(_verify(sets_of(_meetings(pairs)), num, den))
-        discard(pairs)
-        return found
+    def verified(bounded: DataFrame) -> DataFrame:
+        return stage(_verify(sets_of(_meetings(bounded)), num, den))
 
-    links = verified(pairs)
+    bounded = stage(_bounded(pairs, per_set.select("id", "n", "parity"), bands))
+    links = verified(bounded)
+    discard(bounded)
     roots = components(links, stage, discard)
 
     # Groups that the stars left in several components: compare across these.
