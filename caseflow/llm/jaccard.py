@@ -22,10 +22,11 @@ must pass two exact bounds before their sets are fetched: the ratio of sizes, an
 parities of hash bins, as many as tokens or more, of which no more can differ than tokens
 do. The rest is verified on the whole sets, which are made where the texts lie and sent straight to the
 pairs, to all pairs with one first id together. Groups that then still hold several
-components are compared across components by the bounds, a block of ``GROUP`` members at
-a time, so no link between different components is lost. Last the members of large groups
-are compared within their components, blocks of whole sets at a time, so that every link
-is counted.
+components are compared across components by the bounds and then on the whole sets, a
+block of about ``GROUP`` members at a time. Every component is compared until it is joined:
+a meeting of two blocks gives the links that join its components and no others, so never
+more of them than it has members. Last the members of large groups are compared within
+their components, blocks of whole sets at a time, so that every link is counted.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ from caseflow.sources.scratch import discard, stage
 
 SMALL = 6  # probers of a group that are paired with all of it
 GROUP = 2048  # members of a larger group compared at a time, once stars did not settle it
+GROUP_BYTES = 16_000_000  # of their sets, about
 PAIRS = 1 << 16  # pairs of members whose parities are compared in one step
 BLOCK = 64  # sets of a component, about, that are compared at a time
 LEAVES = 256  # partners, about, that one copy of a set is sent to
@@ -506,21 +508,20 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 3, den: int = 4) -> Da
         unnamed = unnamed.join(wanted.where("doc_id is null").drop("doc_id"), "id").select("id", "tokens", *extra).dropDuplicates(["id"])
         return named.union(unnamed)
 
-    def verified(bounded: DataFrame) -> DataFrame:
-        return stage(_verify(sets_of(_meetings(bounded)), num, den))
-
     bounded = stage(_bounded(pairs, per_set.select("id", "n", "parity"), bands))
-    links = verified(bounded)
+    links = stage(_verify(sets_of(_meetings(bounded)), num, den))
     discard(bounded)
     roots = components(links, stage, discard)
 
     # Groups that the stars left in several components: compare across these.
     flat = _merged(groups).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_ = flat.groupBy("a", "b").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("a", "b", "size")
-    met = flat.join(open_, ["a", "b"]).join(per_set.select("id", "n", "parity"), "id")
-    left = stage(_across(met, bands).join(pairs, ["a", "b"], "left_anti"))
-    if not left.isEmpty():
-        links = stage(links.union(verified(left)))
+    met = stage(flat.join(open_, ["a", "b"]).join(per_set.select("id", "n", "parity"), "id"))
+    if not met.isEmpty():
+        sets = sets_of(met.select("id").distinct()).dropDuplicates(["id"])
+        with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
+            joined = stage(_across(met, bands, sets))
+        links = stage(links.union(joined))
         roots = components(links, stage, discard)
 
     # Links within the components of large groups, of which the stars tell nothing.
@@ -568,30 +569,50 @@ def _merged(groups: DataFrame) -> DataFrame:
     return stage(flat.distinct())
 
 
-def _across(flat: DataFrame, bands: Bands) -> DataFrame:
+def _joining(p: np.ndarray, q: np.ndarray, label: np.ndarray, tokens: np.ndarray, bands: Bands) -> list[int]:
+    """Which pairs of places p, q are links that join two labels; those become one in ``label``."""
+    out = []
+    for at, (x, y) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+        if label[x] != label[y] and _linked(np.frombuffer(tokens[x], np.uint64), np.frombuffer(tokens[y], np.uint64), bands.num, bands.den):
+            label[label == label[y]] = label[x]
+            out.append(at)
+    return out
+
+
+def _across(flat: DataFrame, bands: Bands, sets: DataFrame | None = None) -> DataFrame:
     """Pairs across components of groups (a, b, size, id, root, n, parity) that the bounds
-    leave, block against block."""
-    dealt = flat.withColumn("parts", F.ceil(F.col("size") / GROUP).cast("int"))
+    leave, block against block. With sets (id, tokens) only links, and of these in each
+    meeting one for every two components that it joins."""
+    parts = F.ceil(F.greatest(F.max("size") / GROUP, F.sum("n") * 8 / GROUP_BYTES)).cast("int").alias("parts")
+    dealt = flat.join(flat.groupBy("a", "b").agg(parts), ["a", "b"])
+    if sets is not None:
+        dealt = dealt.join(sets, "id")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # blocks i <= j meet: a member is sent to every meeting of its block, once
     sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     meeting = ["a", "b", "i", "j"]
-    sent = sent.select("a", "b", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "n", "parity")
+    traits = ["id", "root", "n", "parity"] if sets is None else ["id", "root", "n", "parity", "tokens"]
+    sent = sent.select("a", "b", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *traits)
 
     def compare(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        i, j, block, ids, root, n, parity = own
+        i, j, block, ids, root, n, parity, *tokens = own
+        label = root.copy()
         x = np.flatnonzero(block == i[0])
         y = x if i[0] == j[0] else np.flatnonzero(block == j[0])
         step = max(1, PAIRS // max(1, len(y)))
         for at in range(0, len(x), step):
             rows = x[at : at + step]
-            far = (root[rows][:, None] != root[y][None]) & (bands.den * np.minimum(n[rows][:, None], n[y][None]) >= bands.num * np.maximum(n[rows][:, None], n[y][None]))
+            far = (label[rows][:, None] != label[y][None]) & (bands.den * np.minimum(n[rows][:, None], n[y][None]) >= bands.num * np.maximum(n[rows][:, None], n[y][None]))
             if i[0] == j[0]:
                 far &= ids[rows][:, None] < ids[y][None]
             p, q = np.nonzero(far)
             p, q = rows[p], y[q]
             keep = plausible(n[p], n[q], parity[p], parity[q], bands)
-            p, q = ids[p[keep]], ids[q[keep]]
+            p, q = p[keep], q[keep]
+            if tokens:
+                keep = _joining(p, q, label, tokens[0], bands)
+                p, q = p[keep], q[keep]
+            p, q = ids[p], ids[q]
             if len(p):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q), pa.int64()), pa.array(np.maximum(p, q), pa.int64())], names=["a", "b"])
 
@@ -602,7 +623,7 @@ def _across(flat: DataFrame, bands: Bands) -> DataFrame:
             if not batch.num_rows:
                 continue
             fresh = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(8)]
-            fresh.append(_objects(batch.column(8)))
+            fresh += [_objects(c) for c in batch.columns[8:]]
             held = fresh if held is None else [np.concatenate(c) for c in zip(held, fresh, strict=True)]
             new = np.any([c[1:] != c[:-1] for c in held[:4]], axis=0)
             edges = [0, *(np.flatnonzero(new) + 1).tolist()]

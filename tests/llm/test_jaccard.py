@@ -91,3 +91,58 @@ def test_members_of_open_groups_are_compared_once_and_all(spark, monkeypatch):
     lone = [np.array([p], object) for p in parity]
     expected = {(i, j) for i in ids for j in ids if i < j and i // 10 != j // 10 and jaccard.plausible(size, size, lone[i], lone[j], jaccard.Bands(3, 4))[0]}
     assert found == expected and (9, 10) in found
+
+
+def test_open_groups_give_the_links_that_join_their_components_alone(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    monkeypatch.setattr(jaccard, "_across", lambda *given, run=jaccard._across: made.append(run(*given)) or made[-1])
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+
+    def copy(k, changes):
+        words = list(base)
+        for at in draw.sample(range(150), changes):
+            words[at] = f"x{k}_{at}"
+        return " ".join(words)
+
+    # stars are around the smallest hashes: here copies too far from all others
+    far = [copy(k, 6) for k in range(2000)]
+    order = np.argsort(jaccard.set_ids(*jaccard.shingle_sets(far, 5)))[:12].tolist()
+    texts = [copy(k + 2000, 2) for k in range(100)] + [far[k] for k in order]
+    sets = sets_of(texts)
+    partners = [{j for j, y in enumerate(sets) if linked(x, y)} for x in sets]
+    found = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    least = {}
+    for i in range(len(sets)):
+        open_ = [i]
+        while open_:
+            if (x := open_.pop()) not in least:
+                least[x] = i
+                open_ += partners[x]
+    assert found == {i: (least[i], len({sets[j] for j in partners[i]})) for i in range(len(sets))}
+    assert sum(map(len, partners)) > 9000  # in both directions
+    assert len(made) == 1 and 0 < made[0].count() < len(sets)
+
+
+def test_a_meeting_of_blocks_gives_no_more_links_than_join_its_components(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_BYTES", 40 * 100 * 8 // 3)
+    draw = np.random.default_rng(8)
+    base = draw.integers(0, 2**63, 100).astype(np.uint64)
+    sets = [np.sort(np.concatenate([base[: 100 - k % 20], draw.integers(0, 2**63, k % 20).astype(np.uint64)])) for k in range(40)]
+    parity = jaccard.parities(np.concatenate(sets), np.arange(0, 4001, 100))
+    flat = spark.createDataFrame([(5, 7, 40, i, i // 2, 100, bytes(parity[i])) for i in range(40)], "a long, b long, size long, id long, root long, n long, parity binary")
+    tokens = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "id long, tokens binary")
+    bands = jaccard.Bands(3, 4)
+    bounded = {(r.a, r.b) for r in jaccard._across(flat, bands).collect()}
+    found = {(r.a, r.b) for r in jaccard._across(flat, bands, tokens).collect()}
+    assert found <= {(i, j) for i, j in bounded if jaccard._linked(sets[i], sets[j], 3, 4) and i // 2 != j // 2}
+
+    def roots(edges):
+        label = [i // 2 for i in range(40)]
+        for i, j in edges:
+            label = [label[i] if at == label[j] else at for at in label]
+        return [label.index(at) for at in label]
+
+    assert len(bounded) > 400 and len(found) <= 6 * 19  # three blocks, six meetings, twenty components
+    assert roots(found) == roots((i, j) for i, j in bounded if jaccard._linked(sets[i], sets[j], 3, 4))
