@@ -513,10 +513,15 @@ def similar(docs: DataFrame, shingle: int = 5, num: int = 3, den: int = 4) -> Da
     discard(bounded)
     roots = components(links, stage, discard)
 
-    # Groups that the stars left in several components: compare across these.
-    flat = _merged(groups).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # Groups that the stars left in several components: compare across these. What is known
+    # of a member is joined to it once, with the list of its groups, not once for each of them.
+    placed = _merged(groups).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("to"))
+    placed = placed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(per_set.select("id", "n", "parity"), "id")
+    placed = stage(placed)
+    flat = placed.select("id", "root", "n", "parity", F.inline("to"))
     open_ = flat.groupBy("a", "b").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("a", "b", "size")
-    met = stage(flat.join(open_, ["a", "b"]).join(per_set.select("id", "n", "parity"), "id"))
+    met = stage(flat.join(open_, ["a", "b"]))
+    discard(placed)
     if not met.isEmpty():
         sets = sets_of(met.select("id").distinct()).dropDuplicates(["id"])
         with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
@@ -586,7 +591,9 @@ def _across(flat: DataFrame, bands: Bands, sets: DataFrame | None = None) -> Dat
     parts = F.ceil(F.greatest(F.max("size") / GROUP, F.sum("n") * 8 / GROUP_BYTES)).cast("int").alias("parts")
     dealt = flat.join(flat.groupBy("a", "b").agg(parts), ["a", "b"])
     if sets is not None:
-        dealt = dealt.join(sets, "id")
+        # a set is joined to its member once: its groups, no more than it has signatures, wait in a list
+        lists = dealt.groupBy("id").agg(*(F.first(c).alias(c) for c in ("root", "n", "parity")), F.collect_list(F.struct("a", "b", "parts")).alias("to"))
+        dealt = lists.join(sets, "id").select("id", "root", "n", "parity", "tokens", F.inline("to"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # blocks i <= j meet: a member is sent to every meeting of its block, once
     sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -146,3 +147,45 @@ def test_a_meeting_of_blocks_gives_no_more_links_than_join_its_components(spark,
 
     assert len(bounded) > 400 and len(found) <= 6 * 19  # three blocks, six meetings, twenty components
     assert roots(found) == roots((i, j) for i, j in bounded if jaccard._linked(sets[i], sets[j], 3, 4))
+
+
+def rows_of_joins(df, on):
+    """Rows made by each inner join of two columns of this name, when ``df`` runs."""
+    df.collect()
+    found, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            nodes.append(node.plan())
+        else:
+            if re.search(rf"Join \[{on}#\d+L?\], \[{on}#\d+L?\], Inner", node.simpleString(200)):
+                found.append(node.metrics().apply("numOutputRows").value())
+            children = node.children()
+            nodes += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_members_of_many_groups_are_joined_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    monkeypatch.setattr(jaccard, "stage", lambda df, put=jaccard.stage: made.extend(rows_of_joins(df, "id")) or put(df))
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+
+    def copy(k, changes):
+        words = list(base)
+        for at in draw.sample(range(150), changes):
+            words[at] = f"x{k}_{at}"
+        return " ".join(words)
+
+    # the smallest hashes, around which the stars are, belong to copies too far from all others
+    far = [copy(k, 6) for k in range(2000)]
+    order = np.argsort(jaccard.set_ids(*jaccard.shingle_sets(far, 5)))[:12].tolist()
+    texts = [copy(k + 2000, 2) for k in range(60)] + [far[k] for k in order]
+    sets = sets_of(texts)
+    found = {r.doc_id: r.n_links for r in jaccard.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {i: len({y for y in sets if linked(x, y)}) for i, x in enumerate(sets)}
+    assert made and max(made) <= len(set(sets))
